@@ -6,12 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, token_counts
+from quire.llm import langid, mixing, quality, simhash, token_counts, url_filters
 from quire.session import ship
 
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.15, "src3": 0.15}
 MIX_OTHER = 0.5
 TOKEN_LIMIT = 4096
+URL_PREFIXES = [
+    url_filters.Prefix("allow", "org", "/"),
+    url_filters.Prefix("block", "example.org", "/es/"),
+    url_filters.Prefix("block", "example.org", "/en/1"),
+    url_filters.Prefix("allow", "com", "/fr/"),
+    url_filters.Prefix("block", "com", "/de/"),
+]
+URL_PATTERNS = [
+    url_filters.pattern(name, regex)
+    for name, regex in {
+        "ad_banners": r"/banners?-[0-9]+x[0-9]+/ads/",
+        "ad_server": r"[/.]adserver\.",
+        "ad_tracker": r"[/.]ads-track[a-z]*\.",
+        "adult": r"[/.]adult-[a-z]+\.",
+        "bets": r"[/.]free-bets\.",
+        "casino": r"[/.]casino-[a-z]+\.",
+        "click_id": r"[?&]gclid=",
+        "cgi": r"/cgi-bin/",
+        "loans": r"[/.]payday-loans\.",
+        "login": r"/wp-login\.php",
+        "paid_click": r"[?&]utm_medium=cpc[&#]",
+        "pills": r"[/.]cheap-pills\.",
+        "pixel": r"/pixel\.gif",
+        "replica": r"[/.]replica-[a-z]+\.",
+        "spam_farm": r"[/.]spam-farm\.",
+        "xxx_top": r"\.xxx/",
+    }.items()
+]
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,4 +61,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op10_token_counts)}
+def op3_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_PREFIXES, URL_PATTERNS)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mix_sources, op3_simhash_duplicates, op6_quality_cascade, op8_url_filters, op9_language_id, op10_token_counts)
+}
