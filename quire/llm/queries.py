@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import langid, mixing, quality, simhash, token_counts, url_filters
+from quire.llm import langid, mixing, packing, quality, simhash, token_counts, token_files, url_filters
 from quire.session import ship
 
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.15, "src3": 0.15}
@@ -65,6 +65,14 @@ def op3_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -78,5 +86,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_simhash_duplicates, op6_quality_cascade, op8_url_filters, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_mix_sources, op3_simhash_duplicates, op4_vector_packing, op5_token_files, op6_quality_cascade, op8_url_filters, op9_language_id, op10_token_counts)
 }
