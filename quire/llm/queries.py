@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import langid, mixing, packing, quality, simhash, token_counts, token_files, url_filters
+from quire.llm import langid, mixing, packing, quality, simhash, substrings, token_counts, token_files, url_filters
 from quire.session import ship
 
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.15, "src3": 0.15}
@@ -61,6 +61,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -86,5 +91,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_simhash_duplicates, op4_vector_packing, op5_token_files, op6_quality_cascade, op8_url_filters, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_duplicates, op4_vector_packing, op5_token_files, op6_quality_cascade, op8_url_filters, op9_language_id, op10_token_counts)
 }
