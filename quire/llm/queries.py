@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import langid, mixing, packing, quality, simhash, substrings, token_counts, token_files, url_filters
+from quire.llm import embedding_graph, langid, mixing, packing, quality, simhash, substrings, token_counts, token_files, url_filters
 from quire.session import ship
 
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.15, "src3": 0.15}
@@ -82,6 +82,10 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_PREFIXES, URL_PATTERNS)
 
@@ -91,5 +95,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_duplicates, op4_vector_packing, op5_token_files, op6_quality_cascade, op8_url_filters, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_duplicates, op4_vector_packing, op5_token_files, op6_quality_cascade, op7_embedding_graph, op8_url_filters, op9_language_id, op10_token_counts)
 }
