@@ -105,8 +105,8 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, held_out, lang_pred, score. Only the text decides.
+def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """Per row: key (with ``carry`` all input columns), held_out, lang_pred, score. Only the text decides.
 
     Letters have random vectors of -1 and 1; a trigram's vector is the product of its letters' vectors, permuted by their
     place; a document's vector is the sum over its trigrams, a language's the sum over its texts. ``lang_pred``: the
@@ -117,12 +117,14 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
     Whole texts of any length; null keys count as not held out; repeated rows and an empty table are no special cases.
     """
     scores = similarity_table(prototypes, letter_vectors()) if names else np.zeros((SYMBOLS**3, 1), np.float32)
-    kind = dict(docs.dtypes)[key]
+    names_out = ["held_out", "lang_pred", "score"]
+    given = [c for c in docs.columns if c not in names_out] if carry else [key]
+    schema = docs.select(*given).schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, score = [], []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column(len(given) + 1).to_pylist():
                 codes, letters = trigrams(t) if t else ((), 0)
                 if not letters or not names:
                     found.append("und")
@@ -135,12 +137,13 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
                 best = int(dots.argmax())
                 found.append(names[best])
                 score.append(min(1.0, max(0.0, float(dots[best] / np.sqrt(DIMENSIONS * float(np.dot(n, n)))))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[key, "held_out", "lang_pred", "score"])
+            kept = [batch.column(k) for k in range(len(given) + 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=given + names_out)
 
-    return docs.select(key, held_out(key).alias("held_out"), text).mapInArrow(run, f"{key} {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(*given, held_out(key).alias("__held_out"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", carry: bool = False) -> DataFrame:
     """Learn from the labelled rows that aren't held out, all of them, and predict every row."""
     names, prototypes = train(docs.where(~held_out(key)), text, lang)
-    return identify(docs, names, prototypes, text, key)
+    return identify(docs, names, prototypes, text, key, carry)
