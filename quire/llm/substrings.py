@@ -179,8 +179,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, width: int, gram: int, mos
     found = scratch.put(search_shards(cold.unionByName(hot), width, shard_words), "found")
     places = pieces.select("key", "text_hash", "start", "group", "piece_hash").join(found, ["group", "piece_hash"])
     earlier = F.transform(F.filter("spans", lambda s: s["least"] < F.col("key")), lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"] + width - 1).alias("to")))
-    places = places.select("key", "text_hash", F.explode(earlier).alias("span"))
-    spans = scratch.put(places.groupBy("key", "text_hash").agg(F.collect_list("span").alias("spans")), "spans")
+    places = places.select("key", "text_hash", earlier.alias("spans")).where(F.size("spans") > 0)
+    spans = scratch.put(places.groupBy("key", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     scratch.drop("pieces", "windows", "found")
     return spans
 
