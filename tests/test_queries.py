@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from quire import plans
@@ -24,7 +25,7 @@ def duck():
 def plain(x):
     if isinstance(x, np.ndarray | list):
         return [plain(y) for y in x]
-    if x is None or x != x:
+    if pd.isna(x):
         return None
     return float(x) if isinstance(x, bool | int | float | np.number | np.bool_) else str(x)
 
