@@ -47,7 +47,7 @@ class Registry:
 
 def drop_copy_residue(text: str) -> str:
     """Lines that a copy button left."""
-    return re.sub(r"(?m)^\s*(Copy|Copied!?|Copy page|Copy code)\s*$\n?", "", text)
+    return re.sub(r"(?m)^[ \t]*(?:Copy|Copied!?|Copy page|Copy code)[ \t]*$\n?", "", text)
 
 
 def unwrap_cards(text: str) -> str:

@@ -116,3 +116,15 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = stream.select(F.col("user_id").alias("url"), F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 5 + 1).cast("int")).alias("status"), F.col("event_id").alias("event_seq"))
     S.run_updates(S.latest(events), f"{root}/out", f"{root}/state")
     return S.settled(spark, f"{root}/out")
+
+
+@query()
+def book_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on the pages: frontier, conversion, manifest and one book for each host."""
+    from quire.functions import url as U
+    from quire.operators import run
+
+    pages = table(spark, sf_dir, "pages")
+    raw = pages.select(F.col("page_id").alias("raw_index"), "url", U.host(F.col("url")).alias("section"))
+    result = run.run(raw, pages.select("url", "html"), run.Settings(["example.com"], ignored=("casino",), remove=(".ad",)))
+    return result.books.select("section", "articles", F.length("markdown").alias("length"))
