@@ -20,7 +20,10 @@ def build(app: str = "quire", master: str | None = None, **conf: str) -> SparkSe
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each context; they need not have it installed."""
+    """Send this package to the Python workers, once for each context; they need not have it installed. Arrow batches of
+    a session with the default size are made smaller."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # documents are long: smaller batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_quire_shipped", False):
         return
