@@ -25,7 +25,7 @@ def run_keys(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """(group, key): the minimizers of each document's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             owner, _, _, low = minimizer_runs(Words.of(binaries(batch.column(1))), width, gram)
             yield pa.RecordBatch.from_arrays([_signed(low), batch.column(0).take(pa.array(owner))], names=["group", "key"])
 
@@ -41,7 +41,7 @@ def cut_pieces(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[int, int], int] = {}
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             key, text_hash = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             w = Words.of(binaries(batch.column(1)))
             owner, first, stop, low = minimizer_runs(w, width, gram)
@@ -84,7 +84,7 @@ def cut_windows(docs: DataFrame, width: int) -> DataFrame:
     """(group, piece_hash, key, piece) of single windows; ``docs`` has ``starts``: (group, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             for key, text, starts in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
                 pieces = [b" ".join(words[s["start"] : s["start"] + width]) for s in starts]
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, width: int, gram: int, mos
     return spans
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 8, most: int = 1000, shard_words: int = 1_500_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 8, most: int = 1000, shard_words: int = 750_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The input's columns, and: n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text.
 
     Words are what ASCII white space separates, unchanged. A word goes if it stands in a window of ``width`` words that
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 8, most: int =
 
     Null texts have no words, and stay null as kept_text. Rows with a null key lose nothing and take nothing from others.
     Rows with equal keys take nothing from each other. The key is a whole number. Words are compared by 64-bit hashes.
-    Every row gives one row. A task holds one shard of the index, or 4 MB of text; a longer text is held whole.
+    Every row gives one row. A task holds one shard of the index, or 1 MB of text; a longer text is held whole.
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 8, most: int =
     joined = hashed.join(spans.withColumnsRenamed({"key": "__key", "text_hash": "__hash", "spans": "__spans"}), ["__key", "__hash"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             texts = binaries(batch.column(rest.index(text)))
             lists = batch.column(len(rest))
             out: tuple[list, ...] = ([], [], [], [])

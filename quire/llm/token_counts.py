@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int, text: str = "text", ke
 
     ``model``: file of a sentencepiece BPE model, on every executor. Null and empty texts: no bytes, no tokens. Rows and
     nulls in the key are kept as they are, repeated rows too; other columns aren't read. No shuffle; a worker holds one
-    batch of at most 8 MB of text (a single longer text is held whole) and its word table.
+    batch of at most 1 MB of text (a single longer text is held whole) and its word table.
     """
     kind = dict(docs.dtypes)[key]
 

@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, root: str, end: int
         part = TaskContext.get().partitionId()
         paths = [f"{root}/part-{part:06d}-{uuid.uuid4().hex}.{x}" for x in ("ids.arrow", "docs.arrow")]
         writer, names, sizes = None, [], []
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             writer = writer or SequenceWriter(paths[0], length, kind)
@@ -163,7 +163,7 @@ def token_file_round_trip(docs: DataFrame, tokenizer_file: str, end: int = 2, le
     """Write all documents to token files in the shared folder and report each from the files.
 
     Null and empty texts: the end id alone. Null keys come first, repeated rows each have ids of their own. Empty table:
-    no file, no row. A task holds 4 MB of text and a batch of sequences; a longer single text is held whole.
+    no file, no row. A task holds 1 MB of text and a batch of sequences; a longer single text is held whole.
     """
     scratch = Scratch(docs.sparkSession)
     files = scratch.put(write_token_files(docs, tokenizer_file, scratch.root, end, length, text, key), "files")
