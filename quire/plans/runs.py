@@ -144,13 +144,13 @@ def batches_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).cast("int").alias("i"), "batch")
 
 
-KEY = "md5('gemini' || ':' || '' || ':' || 'm1' || ':' || lang || ':' || 'page' || ':' || text)"
+KEY = "md5('provider' || ':' || '' || ':' || 'm1' || ':' || lang || ':' || 'page' || ':' || text)"
 
 
 @query(f"SELECT doc_id, {KEY} AS translation_key, sha256('markdown:' || source) AS resource_key, substr(sha256(source), 1, 24) AS image_key, sha256(text) AS checksum FROM documents")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity and hashing keys."""
-    key = M.translation_key(F.lit("gemini"), F.lit(None).cast("string"), F.lit("m1"), F.col("lang"), F.lit("page"), F.col("text"))
+    key = M.translation_key(F.lit("provider"), F.lit(None).cast("string"), F.lit("m1"), F.col("lang"), F.lit("page"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("translation_key"), M.digest_key(F.lit("markdown"), F.col("source")).alias("resource_key"), F.substring(F.sha2("source", 256), 1, 24).alias("image_key"), F.sha2("text", 256).alias("checksum"))
 
 
