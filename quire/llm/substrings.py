@@ -14,7 +14,8 @@ from quire.llm.common import Scratch, binaries, slices
 from quire.llm.fm_index import FMIndex
 from quire.llm.windows import Words, minimizer_runs, spans_hash
 
-PIECES = "key long, text_hash long, start int, words int, group long, piece_hash long, piece binary"
+#: ``kind``: "run" of a cold minimizer, "hot" run, or "window" of a hot run (``of_group``, ``of_piece``), at place ``at`` in it.
+PIECES = "kind string, key long, text_hash long, start int, words int, group long, piece_hash long, of_group long, of_piece long, at int, piece binary"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -35,8 +36,8 @@ def run_keys(docs: DataFrame, width: int, gram: int) -> DataFrame:
 def cut_pieces(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """Pieces of documents under shared minimizers (``PIECES``); ``docs`` has ``groups``: (group, hot).
 
-    A piece is a run's windows; under a hot minimizer each window is a piece whose group is its own hash. A task gives a
-    piece's words once for each smaller key that it meets with it, and never those of hot windows.
+    A piece is a run's windows. A task gives a cold piece's words, or the windows of a hot one by their hashes, once for
+    each smaller key that it meets with the piece: copies cost a row each, not their words or windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,24 +59,43 @@ def cut_pieces(docs: DataFrame, width: int, gram: int) -> DataFrame:
             state[same[: len(row)]] = 1 + hot
             state = state[same[len(row) :]]
             cold, warm = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
-            many = (stop - first)[warm]
-            window = np.repeat(first[warm] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            begin = np.concatenate([first[cold], window])
-            end = np.concatenate([stop[cold] + width - 1, window + width])
-            text = np.concatenate([owner[cold], np.repeat(owner[warm], many)])
-            if not len(begin):
+            runs = np.concatenate([cold, warm])
+            if not len(runs):
                 continue
+            begin, end, text = first[runs], stop[runs] + width - 1, owner[runs]
             content = spans_hash(w.hash, begin, end).view(np.int64)
-            name = content.copy()
-            name[: len(cold)] = low[cold].view(np.int64)
-            words: list[bytes | None] = [None] * len(begin)
-            owners = key[text].tolist()
-            for k, (pair, doc) in enumerate(zip(zip(name[: len(cold)].tolist(), content[: len(cold)].tolist(), strict=True), owners, strict=False)):
+            name = low[runs].view(np.int64)
+            words: list[bytes | None] = [None] * len(runs)
+            fresh = np.zeros(len(runs), bool)
+            for k, (pair, doc) in enumerate(zip(zip(name.tolist(), content.tolist(), strict=True), key[text].tolist(), strict=True)):
                 if least.get(pair, doc + 1) > doc:
                     least[pair] = doc
-                    words[k] = w.text(int(begin[k]), int(end[k]))
-            arrays = [pa.array(key[text]), pa.array(text_hash[text]), pa.array((begin - w.first[text]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(name), pa.array(content), pa.array(words, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "text_hash", "start", "words", "group", "piece_hash", "piece"])
+                    fresh[k] = True
+                    if k < len(cold):
+                        words[k] = w.text(int(begin[k]), int(end[k]))
+            opened = np.flatnonzero(fresh[len(cold) :]) + len(cold)
+            many = end[opened] - begin[opened] - width + 1
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            parent = np.repeat(opened, many)
+            window = begin[parent] + at
+            own = spans_hash(w.hash, window, window + width).view(np.int64)
+            blank = pa.nulls(len(runs), pa.int64())
+            both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind)])
+            kinds = ["run"] * len(cold) + ["hot"] * len(warm)
+            arrays = [
+                pa.array(kinds + ["window"] * len(window)),
+                both(key[text], key[text[parent]], pa.int64()),
+                both(text_hash[text], text_hash[text[parent]], pa.int64()),
+                both((begin - w.first[text]).astype(np.int32), (window - w.first[text[parent]]).astype(np.int32), pa.int32()),
+                both((end - begin).astype(np.int32), np.full(len(window), width, np.int32), pa.int32()),
+                both(name, own, pa.int64()),
+                both(content, own, pa.int64()),
+                pa.concat_arrays([blank, pa.array(name[parent])]),
+                pa.concat_arrays([blank, pa.array(content[parent])]),
+                both(np.zeros(len(runs), np.int32), at.astype(np.int32), pa.int32()),
+                pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(len(window), pa.binary())]),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select("key", "text", "text_hash", "groups").mapInArrow(run, PIECES)
 
@@ -172,16 +192,27 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, width: int, gram: int, mos
     pieces = scratch.put(cut_pieces(docs.join(groups, "key"), width, gram), "pieces")
     scratch.drop("groups")
     cold = pieces.where("piece is not null").select("group", "piece_hash", "key", "piece")
-    windows = pieces.where("group = piece_hash").groupBy("group").agg(F.min(F.struct("key", "text_hash", "start")).alias("least"), F.max("key").alias("z"))
+    windows = pieces.where("kind = 'window'").groupBy("group").agg(F.min(F.struct("key", "text_hash", "start")).alias("least"), F.max("key").alias("z"))
     windows = windows.where("least.key < z").groupBy("least.key", "least.text_hash").agg(F.collect_list(F.struct("group", "least.start")).alias("starts"))
     windows = scratch.put(windows, "windows")
     hot = cut_windows(docs.join(windows, ["key", "text_hash"]), width)
     found = scratch.put(search_shards(cold.unionByName(hot), width, shard_words), "found")
-    places = pieces.select("key", "text_hash", "start", "group", "piece_hash").join(found, ["group", "piece_hash"])
+    places = pieces.where("kind <> 'hot'").drop("words", "piece").join(found, ["group", "piece_hash"])
     earlier = F.transform(F.filter("spans", lambda s: s["least"] < F.col("key")), lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"] + width - 1).alias("to")))
-    places = places.select("key", "text_hash", earlier.alias("spans")).where(F.size("spans") > 0)
-    spans = scratch.put(places.groupBy("key", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    scratch.drop("pieces", "windows", "found")
+    places = places.where((F.col("kind") == "window") | F.exists("spans", lambda s: s["least"] < F.col("key")))
+    places = scratch.put(places.withColumn("earlier", earlier), "places")
+    # Of a hot run: all of it in documents after the first that has it; in that one, windows that an earlier one has.
+    first = pieces.where("kind = 'hot'").groupBy("group", "piece_hash").agg(F.min("key").alias("first"))
+    inner = places.where("kind = 'window'").select(F.col("of_group").alias("group"), F.col("of_piece").alias("piece_hash"), F.struct("at", F.col("spans")[0]["least"].alias("least")).alias("w"))
+    inner = inner.groupBy("group", "piece_hash").agg(F.collect_set("w").alias("inner"))
+    hot_found = scratch.put(first.join(inner, ["group", "piece_hash"], "left"), "hot_found")
+    copies = pieces.where("kind = 'hot'").select("key", "text_hash", "start", "words", "group", "piece_hash").join(hot_found, ["group", "piece_hash"])
+    whole = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("words")).alias("to")))
+    part = F.transform(F.filter(F.coalesce("inner", F.array().cast("array<struct<at:int,least:long>>")), lambda x: x["least"] < F.col("key")), lambda x: F.struct((F.col("start") + x["at"]).alias("from"), (F.col("start") + x["at"] + width).alias("to")))
+    copies = copies.select("key", "text_hash", F.when(F.col("first") < F.col("key"), whole).otherwise(part).alias("spans")).where(F.size("spans") > 0)
+    found_spans = places.where("kind = 'run'").select("key", "text_hash", F.col("earlier").alias("spans")).unionByName(copies)
+    spans = scratch.put(found_spans.groupBy("key", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    scratch.drop("pieces", "windows", "found", "places", "hot_found")
     return spans
 
 
