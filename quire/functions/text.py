@@ -116,10 +116,10 @@ def drop_repeated_captions(text: Column) -> Column:
 
     def repeats(line: Column, i: Column) -> Column:
         t = F.trim(line)
-        said = F.when(t.rlike(r"^\*[^*]+\*$") | t.rlike(r"^_[^_]+_$"), F.substring(t, 2, 1000000))
+        italic = t.rlike(r"^\*[^*]+\*$") | t.rlike(r"^_[^_]+_$")
         previous = F.when(i > 0, F.try_element_at(F.filter(F.slice(lines, 1, F.greatest(i, F.lit(1))), lambda x: F.trim(x) != ""), F.lit(-1)))
         alt = F.regexp_extract(F.coalesce(previous, F.lit("")), r"^\s*!\[([^\]]*)\]\([^)]*\)\s*$", 1)
-        return F.coalesce((key(said) == key(alt)) & (alt != ""), F.lit(False))
+        return F.when(italic, (key(F.substring(t, 2, 1000000)) == key(alt)) & (alt != "")).otherwise(False)  # only such lines look back
 
     return F.array_join(F.filter(lines, lambda x, i: ~repeats(x, i)), "\n")
 

@@ -21,6 +21,15 @@ def from_sections(df: DataFrame, sections: str = "sections") -> DataFrame:
     return rows.withColumn("raw_index", F.col("section_index").cast("long") * (1 << 32) + F.col("order_in_section"))
 
 
+def from_rows(rows: DataFrame, order: str) -> DataFrame:
+    """Lists held as rows (section_index, title, url, order): the rows of ``from_list`` and ``from_sections``, without an
+    array that holds a whole list."""
+    numbered = dense_index(rows.withColumn("__o", F.struct("section_index", order)), "__o", "__at")
+    first = numbered.groupBy("section_index").agg(F.min("__at").alias("__first"))
+    out = numbered.join(first, "section_index").withColumn("order_in_section", F.col("__at") - F.col("__first"))
+    return out.select((F.col("section_index").cast("long") * (1 << 32) + F.col("order_in_section")).alias("raw_index"), "url", "section_index", "title", "order_in_section")
+
+
 def entry_points(root: Column, more: Column) -> Column:
     """Root first, trimmed, without repeats and blanks, in order."""
     return F.array_distinct(F.filter(F.transform(F.concat(F.array(root), more), lambda x: F.trim(x)), lambda x: x != ""))

@@ -76,8 +76,9 @@ def font_issues(required: DataFrame, used: DataFrame) -> DataFrame:
 
 def verdict(issues: DataFrame, most: int = 12) -> DataFrame:
     """issues, passed, and the first pages with issues."""
-    pages = F.slice(F.array_sort(F.collect_set("page")), 1, most)
-    return issues.agg(F.count("*").alias("issues"), (F.count("*") == 0).alias("passed"), pages.alias("preview_pages"))
+    first = issues.where("page is not null").select("page").distinct().orderBy("page").limit(most)
+    pages = first.agg(F.array_sort(F.collect_list("page")).alias("preview_pages"))
+    return issues.agg(F.count("*").alias("issues"), (F.count("*") == 0).alias("passed")).join(pages)  # one row each
 
 
 def layout_issues(specs: DataFrame) -> DataFrame:

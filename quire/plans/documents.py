@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.html import operators as H
 from quire.markdown import adapters, transform
 from quire.markdown import operators as K
@@ -84,6 +85,37 @@ def site_adapter_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", K.adapted(md, F.col("url"), adapters.Registry(site)).alias("markdown"))
 
 
+def text_rules(text: Column) -> dict[str, Column]:
+    """HT7, A19, MD2, MD4, W9, W10, MD22, F8, F15, MD27 on a whole text; long results as their hash."""
+    spans, paragraphs = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), 1), F.split(text, r"\n{2,}", -1)
+    return {
+        "heading": T.title_from(text),
+        "code": F.md5(T.inline_code(text)),
+        "longest": T.longest_backticks(text),
+        "images": F.md5(T.drop_repeated_images(text)),
+        "captions": F.md5(T.drop_repeated_captions(text)),
+        "emphasis": F.md5(T.cjk_emphasis(text)),
+        "breaks": F.size(F.filter(spans, T.needs_breaks)),
+        "pipe_tables": F.size(F.filter(paragraphs, T.is_pipe_table)),
+    }
+
+
+@query()
+def document_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HT7, A19, MD2, MD4, W9, W10, MD22, F8, F15, MD27 on the texts of documents."""
+    return plain_table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in text_rules(F.col("text")).items()])
+
+
+@query()
+def page_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, MD23, MD26 and MD35 on pages: titles from their HTML, the rest from their Markdown."""
+    site = adapters.Adapter("docs", ("example.org",), None, [adapters.drop_copy_residue, adapters.unwrap_cards, adapters.one_theme, adapters.numbered_prompts, adapters.strip_pager])
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", T.html_title(F.col("html")).alias("title"), H.markdown(F.col("html"), "article").alias("md"))
+    rows = rows.withColumn("adapted", K.adapted(F.col("md"), F.col("url"), adapters.Registry(site)))
+    more = {"title": T.clean_title(F.col("title")), "body": F.md5(T.without_leading_title(F.col("md"), F.col("title"))), "adapted": F.md5("adapted")}
+    return rows.select("page_id", *[c.alias(n) for n, c in (more | text_rules(F.col("md"))).items()])
+
+
 @query()
 def translated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MD28, MD29, X4, X6, J8: plans, cache look-up, a client that marks its texts, answers by segment."""

@@ -267,7 +267,7 @@ def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 0 AS section_index, 'Custom Selection' AS title, count(*) AS urls, min(url) AS first_url FROM pages WHERE page_id < 50 UNION ALL SELECT 1 + page_id % 3, 'part' || page_id % 3, count(*), min(url) FROM pages WHERE page_id < 60 GROUP BY page_id % 3""")
 def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1, SRC2, A3: a flat list and grouped lists of URLs."""
+    """SRC1, SRC2, A3: a flat list and grouped lists of URLs, as arrays of a setting's size; ``url_list_rows`` takes all pages."""
     pages = table(spark, sf_dir, "pages")
     flat = frontier.from_list(pages.where("page_id < 50").agg(F.collect_list("url").alias("urls")))
     parts = pages.where("page_id < 60").groupBy((F.col("page_id") % 3).alias("k")).agg(F.collect_list("url").alias("urls"))
@@ -277,6 +277,17 @@ def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("section_index", "title").agg(F.count("*").alias("urls"), F.min("url").alias("first_url"))
 
 
+@query("""WITH l AS (SELECT 0 AS section_index, 'Custom Selection' AS title, page_id, url FROM pages UNION ALL SELECT (1 + page_id % 3)::INT, 'part' || page_id % 3, page_id, url FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY section_index ORDER BY page_id) - 1 AS order_in_section FROM l)
+SELECT section_index * 4294967296::BIGINT + order_in_section AS raw_index, url, section_index, title, order_in_section FROM n""")
+def url_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, SRC2, A3: a flat list and grouped lists of all pages, as rows."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    k = (F.col("page_id") % 3).cast("int")
+    flat = pages.select("*", F.lit(0).alias("section_index"), F.lit("Custom Selection").alias("title"))
+    grouped = pages.select("*", (k + 1).alias("section_index"), F.concat(F.lit("part"), k.cast("string")).alias("title"))
+    return frontier.from_rows(flat.unionByName(grouped), "page_id")
+
+
 @query("""WITH p AS (SELECT page_id + 1 AS page, CASE WHEN page_id % 9 = 1 THEN 420.0 ELSE 360.0 END AS width, 576.0 AS height, CASE page_id % 13 WHEN 2 THEN 'x' || chr(65533) WHEN 3 THEN ' ' ELSE 't' || page_id END AS text, page_id % 17 = 4 AS m FROM pages)
 SELECT 'page_size' AS kind, page::BIGINT AS page, '420.0x576.0' AS detail FROM p WHERE width > 361 UNION ALL SELECT 'replacement_character', page, '' FROM p WHERE contains(text, chr(65533)) UNION ALL SELECT 'missing_glyph', page, '1' FROM p WHERE m UNION ALL SELECT 'empty_page', page, '' FROM p WHERE text = ' '
 UNION ALL SELECT 'overflow', page, 'wide' FROM p WHERE page % 5 = 0 UNION ALL SELECT 'invalid_link', page, '99999999' FROM p WHERE page % 6 = 0 UNION ALL SELECT 'bookmark_title', page, 'other' FROM p WHERE page % 8 = 0 UNION ALL SELECT 'toc_page_number', page, 'x' FROM p WHERE page % 14 = 0""")
@@ -315,6 +326,13 @@ def verify_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verdict(rows).select("issues", "passed", F.array_join(F.transform("preview_pages", lambda x: x.cast("string")), ",").alias("preview"))
 
 
+@query("""SELECT count(*) AS issues, count(*) = 0 AS passed, array_to_string(list_sort(list(page_id))[:12], ',') AS preview FROM pages""")
+def verify_verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page has an issue."""
+    rows = table(spark, sf_dir, "pages").select(F.lit("x").alias("kind"), F.col("page_id").alias("page"), F.lit("").alias("detail"))
+    return verify.verdict(rows).select("issues", "passed", F.array_join(F.transform("preview_pages", lambda x: x.cast("string")), ",").alias("preview"))
+
+
 @query("""SELECT doc_id AS id, unnest(list_filter([CASE WHEN doc_id % 200 + 100 >= 200 THEN 'no_body_width' END, CASE WHEN doc_id % 7 = 0 THEN 'header_zone' END], lambda x: x IS NOT NULL)) AS rule FROM documents""")
 def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7."""

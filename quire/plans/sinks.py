@@ -55,6 +55,15 @@ def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.merge_log(old, new, ["url", "index"]).groupBy("url", "index").agg(F.count("*").alias("n"))
 
 
+@query("""WITH o AS (SELECT url, page_id % 3 AS index FROM pages), n AS (SELECT url, page_id % 4 AS index FROM pages)
+SELECT url, index, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT DISTINCT * FROM n WHERE (url, index) NOT IN (SELECT url, index FROM o)) GROUP BY ALL""")
+def failure_log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4, SNK11: old log and new rows hold all pages."""
+    p = table(spark, sf_dir, "pages")
+    old, new = (p.select("url", (F.col("page_id") % k).alias("index")) for k in (3, 4))
+    return files.merge_log(old, new, ["url", "index"]).groupBy("url", "index").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, 'source' AS variant, md5(text) AS md FROM documents UNION ALL SELECT doc_id, 'translated', md5('T' || text) FROM documents WHERE doc_id % 2 = 0")
 def markdown_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2, SNK5: documents by variant, the source always."""
@@ -65,6 +74,16 @@ def markdown_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, text string, variant string").parquet(path).select("doc_id", "variant", F.md5("text").alias("md"))
 
 
+@query("SELECT doc_id, 'source' AS variant, md5(text) AS md FROM documents UNION ALL SELECT doc_id, 'translated', md5('T' || text) FROM documents")
+def markdown_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2, SNK5: every document in both variants."""
+    path = folder(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = d.withColumn("variant", F.lit("source")).unionByName(d.select("doc_id", F.concat(F.lit("T"), "text").alias("text"), F.lit("translated").alias("variant")))
+    files.write_variants(rows, path)
+    return spark.read.schema("doc_id long, text string, variant string").parquet(path).select("doc_id", "variant", F.md5("text").alias("md"))
+
+
 @query("""WITH c AS (SELECT doc_id, ['page.width', 'fonts.body', 'toc.depth', 'page.margin.left'][1 + doc_id % 4] AS path FROM documents) SELECT doc_id, path FROM c WHERE path LIKE 'page.%' OR path LIKE 'fonts.%'""")
 def layout_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings that a layout controls and another layer sets too."""
