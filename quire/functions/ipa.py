@@ -13,8 +13,15 @@ _VOWEL = re.compile(r"[aeiouæɑɒɔəɛɜɪʊʌ]")
 
 def us(text: str) -> str:
     """Between slashes; r-coloured vowels by stress: ɝ in a stressed syllable, ɚ elsewhere."""
-    body = text.strip().strip("/")
-    return "/" + re.sub(r"(^|[ˈˌ]?)([^ˈˌ]*?)(ɝ|ɚ|ər)", lambda m: m[1] + m[2] + ("ɝ" if "ˈ" in m[1] or "ˌ" in m[1] else "ɚ"), body) + "/"
+    stressed = False
+
+    def sign(m: re.Match) -> str:  # one pass: a mark stresses the first r-coloured vowel after it
+        nonlocal stressed
+        mark, was = m[0] in "ˈˌ", stressed
+        stressed = mark
+        return m[0] if mark else "ɝ" if was else "ɚ"
+
+    return "/" + re.sub("[ˈˌ]|ɝ|ɚ|ər", sign, text.strip().strip("/")) + "/"
 
 
 def uk(tokens: list[str]) -> str:

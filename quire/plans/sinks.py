@@ -128,11 +128,11 @@ def canonical_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ipa_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M20, M21, M23."""
+    """M20, M21, M23, on whole texts."""
     ship(spark)
 
     @F.pandas_udf("us string, uk string, word string")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(ipa.us(x), ipa.uk(list(x[:6])), ipa.lookup_word(x)) for x in s.fillna("").str.slice(0, 12)], columns=["us", "uk", "word"])
+        return pd.DataFrame([(ipa.us(x), ipa.uk(list(x)), ipa.lookup_word(x)) for x in s.fillna("")], columns=["us", "uk", "word"])
 
     return table(spark, sf_dir, "documents").select("doc_id", run("text").alias("r")).select("doc_id", "r.*")

@@ -6,8 +6,11 @@ import hashlib
 import re
 
 import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quire import plans
+from quire.functions import ipa
 from quire.functions import text as T
 from quire.html import operators as H
 from quire.markdown import adapters
@@ -103,3 +106,33 @@ def test_whole_logs_and_verdicts(spark, tmp_path):
     log = plans.QUERIES["failure_log_all"](spark, str(tmp_path))
     assert {(r["url"], r["index"]) for r in log.collect()} == {(f"u{k}", k % m) for k in range(1000) for m in (3, 4)}
     assert tuple(plans.QUERIES["verify_verdict_all"](spark, str(tmp_path)).first()) == (1000, False, "0,1,2,3,4,5,6,7,8,9,10,11")
+
+
+def us(text):
+    """By backtracking: quadratic, for short texts."""
+    body = text.strip().strip("/")
+    return "/" + re.sub(r"(^|[ˈˌ]?)([^ˈˌ]*?)(ɝ|ɚ|ər)", lambda m: m[1] + m[2] + ("ɝ" if m[1] else "ɚ"), body) + "/"
+
+
+@given(st.text("ˈˌɝɚərk/\n ", max_size=30))
+@settings(max_examples=2000, deadline=None)
+def test_us_form_in_one_pass(text):
+    assert ipa.us(text) == us(text)
+
+
+def test_pronunciations_of_whole_texts(spark, tmp_path):
+    texts = ["abcdefghijklmnop", "abcdefghijkl mnop", "ˈsɪstəmz ən ˈwɚk ər", "Don’t-stop-at-the-twelfth", "kər " * 50_000, None]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["us"], r["uk"], r["word"]) for r in plans.QUERIES["ipa_normal_forms"](spark, str(tmp_path)).collect()}
+    assert [got[k][2] for k in range(6)] == ["abcdefghijklmnop", None, None, "don't-stop-at-the-twelfth", None, None]
+    assert [got[k][1] for k in (0, 1, 5)] == ["/abcdefghijklmnop/", "/abcdefghijkl mnop/", "//"] and len(got[4][1]) == 200_002
+    assert got[2][0] == us(texts[2]) and got[4][0] == "/" + ("kɚ " * 50_000).strip() + "/"
+
+
+def test_pronunciations_of_all_documents(spark):
+    got = {r["doc_id"]: (r["us"], r["uk"], r["word"]) for r in plans.QUERIES["ipa_normal_forms"](spark, SF).collect()}
+    want = lambda t: ("/" + re.sub("ɝ|ɚ|ər", "ɚ", t.strip().strip("/")) + "/", "/" + t.replace("ɹ", "r") + "/", ipa.lookup_word(t))  # noqa: E731  no stress marks
+    texts = dict(read("documents")[["doc_id", "text"]].itertuples(index=False))
+    assert not any("ˈ" in t or "ˌ" in t for t in texts.values())
+    assert got == {d: want(t) for d, t in texts.items()}
