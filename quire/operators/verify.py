@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,65 @@ def font_issues(required: DataFrame, used: DataFrame) -> DataFrame:
     return rows.select(F.lit("missing_font").alias("kind"), F.lit(None).cast("long").alias("page"), F.col("font").alias("detail"))
 
 
+_PLAIN = str.maketrans("‘’“”", "''\"\"") | dict(zip(map(ord, "ﬀﬁﬂﬃﬄﬅﬆ"), ["ff", "fi", "fl", "ffi", "ffl", "st", "st"], strict=True))
+
+
+def _compact(text: str) -> str:
+    return "".join(text.translate(_PLAIN).split())
+
+
+def whole_book(pages: list[dict], outline: list[dict], toc_targets: list[str], expected: dict) -> list[dict]:
+    """missing_body_content, empty_article_body, missing_toc, toc_targets, missing_image of one book, everything in order.
+    Pages count from 1 without gaps; those with Roman labels are the table of contents."""
+    out: list[dict] = []
+    add = lambda kind, page=None, detail="": out.append({"kind": kind, "page": page, "detail": detail})
+    toc = [bool(re.fullmatch("[ivxlcdm]+", p["label"] or "")) for p in pages]
+    body = "\n".join(p["text"] or "" for p, t in zip(pages, toc, strict=True) if not t)
+    plain = _compact(body)
+    absent = [x for x in expected["snippets"] if _compact(x) not in plain]
+    joined = _compact(re.sub(r"(?<=\w)-\s*\n\s*(?=\w)", "", body)) if absent else ""
+    for snippet in absent:
+        if _compact(snippet) not in joined:
+            add("missing_body_content", detail=snippet)
+    headings = [_compact(e["title"]) for e in outline]
+    for title in expected["titles"]:
+        places = [k for k, e in enumerate(outline) if e["level"] == 2 and e["title"] == title]
+        if len(places) != 1:
+            continue  # article_issues has it
+        start = outline[places[0]]["page"] - 1
+        end = next((e["page"] - 1 for e in outline[places[0] + 1 :] if e["level"] <= 2), len(pages))
+        text = _compact("\n".join(p["text"] or "" for p in pages[start:end]))
+        for h in headings:
+            text = text.replace(h, "") if h else text
+        if not re.search(r"[^\W\d_]", text) and not any(p["images"] for p in pages[start:end]):
+            add("empty_article_body", start + 1, title)
+    if expected["require_toc"]:
+        if not outline or sum(toc) < expected["min_toc_pages"]:
+            add("missing_toc")
+        if list(dict.fromkeys(toc_targets)) != [e["target"] for e in outline]:
+            add("toc_targets", detail=f"{len(set(toc_targets))}/{len(outline)}")
+    if expected["require_images"] and not any(p["images"] for p in pages):
+        add("missing_image")
+    return out
+
+
+def book_issues(books: DataFrame, pages: DataFrame, outline: DataFrame, toc_links: DataFrame) -> DataFrame:
+    """(book, kind, page, detail) by ``whole_book``. books: book, expected struct<snippets, titles, require_toc,
+    min_toc_pages, require_images>; pages: book, page, label, text, images; outline: book, position, level, title, page,
+    target; toc_links: book, n, target. One book is one value."""
+    listed = lambda rows, name, *cols: rows.groupBy("book").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+
+    @F.pandas_udf("array<struct<kind:string,page:long,detail:string>>")
+    def run(p: pd.Series, o: pd.Series, t: pd.Series, e: pd.DataFrame) -> pd.Series:
+        some = lambda x: [] if x is None else list(x)
+        rows = zip(p, o, t, e.to_dict("records"), strict=True)
+        return pd.Series([whole_book(some(a), some(b), [x["target"] for x in some(c)], d) for a, b, c, d in rows], dtype=object)
+
+    out = books.join(listed(pages, "pages", "page", "label", "text", "images"), "book", "left")
+    out = out.join(listed(outline, "outline", "position", "level", "title", "page", "target"), "book", "left").join(listed(toc_links, "links", "n", "target"), "book", "left")
+    return out.select("book", F.explode(run("pages", "outline", "links", "expected")).alias("i")).select("book", "i.*")
+
+
 def verdict(issues: DataFrame, most: int = 12) -> DataFrame:
     """issues, passed, and the first pages with issues."""
     first = issues.where("page is not null").select("page").distinct().orderBy("page").limit(most)

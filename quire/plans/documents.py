@@ -11,7 +11,7 @@ from quire.functions import text as T
 from quire.html import operators as H
 from quire.markdown import adapters, transform
 from quire.markdown import operators as K
-from quire.operators import derive
+from quire.operators import derive, verify
 from quire.plans.registry import query
 from quire.plans.registry import table as plain_table
 from quire.session import ship
@@ -116,6 +116,24 @@ def page_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *[c.alias(n) for n, c in (more | text_rules(F.col("md"))).items()])
 
 
+@query()
+def verify_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of ten pages and a table of contents. What is expected comes from the table; the book lost the text of
+    some pages, and some books their table of contents or one of its links."""
+    k, at = F.col("page_id"), (F.col("page_id") % 10 + 2).alias("page")
+    text = F.regexp_replace(T.strip_nontext(F.col("html")), "<[^>]+>", " ")
+    rows = table(spark, sf_dir, "pages").select(k, F.floor(k / 10).alias("book"), at, F.concat(F.lit("Article "), k.cast("string")).alias("title"), text.alias("text"), F.regexp_count("html", F.lit("(?i)<img")).alias("images"), F.regexp_extract("html", r"(?i)<p[^>]*>([^<]*\w[^<]*)</p>", 1).alias("snippet"))
+    each = rows.groupBy("book")
+    snippets = F.filter(F.array_sort(F.collect_set("snippet")), lambda x: x != "")
+    books = each.agg(F.struct(snippets.alias("snippets"), F.array_sort(F.collect_list("title")).alias("titles"), F.lit(True).alias("require_toc"), F.lit(1).alias("min_toc_pages"), F.lit(True).alias("require_images")).alias("expected"))
+    lost = k % 17 == 4
+    kept = rows.select("book", "page", F.col("page").cast("string").alias("label"), F.concat("title", F.lit("\n"), F.when(lost, "").otherwise(F.col("text"))).alias("text"), F.when(lost, 0).otherwise(F.col("images")).alias("images"))
+    front = each.agg(F.count("*")).select("book", F.lit(1).cast("long").alias("page"), F.when(F.col("book") % 5 == 1, "1").otherwise("i").alias("label"), F.lit("Contents").alias("text"), F.lit(0).alias("images"))
+    outline = rows.select("book", F.col("page").alias("position"), F.lit(2).alias("level"), "title", "page", F.col("title").alias("target"))
+    links = outline.where("not (book % 7 = 2 and page = 3)").select("book", F.col("position").alias("n"), "target")
+    return verify.book_issues(books, front.unionByName(kept), outline, links)
+
+
 @query()
 def translated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MD28, MD29, X4, X6, J8: plans, cache look-up, a client that marks its texts, answers by segment."""

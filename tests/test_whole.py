@@ -14,6 +14,7 @@ from quire.functions import ipa
 from quire.functions import text as T
 from quire.html import operators as H
 from quire.markdown import adapters
+from quire.operators import verify
 from quire.session import ship
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +137,30 @@ def test_pronunciations_of_all_documents(spark):
     texts = dict(read("documents")[["doc_id", "text"]].itertuples(index=False))
     assert not any("ˈ" in t or "ˌ" in t for t in texts.values())
     assert got == {d: want(t) for d, t in texts.items()}
+
+
+def test_rules_of_whole_books():
+    pages = [{"label": a, "text": t, "images": 0} for a, t in (("i", "Contents lost words"), ("1", "One\nsome hyphen-\nated text"), ("2", "Two\n 12 _"))]
+    outline = [{"level": 2, "title": t, "page": p, "target": t} for t, p in (("One", 2), ("Two", 3))]
+    expected = {"snippets": ["hyphenated", "text Two", "lost words"], "titles": ["One", "Two"], "require_toc": True, "min_toc_pages": 1, "require_images": True}
+    kinds = lambda *x: [(i["kind"], i["page"], i["detail"]) for i in verify.whole_book(*x)]
+    assert kinds(pages, outline, ["One", "Two", "One"], expected) == [("missing_body_content", None, "lost words"), ("empty_article_body", 3, "Two"), ("missing_image", None, "")]
+    pages[2]["images"] = 1
+    assert kinds(pages[1:], [], ["One"], expected | {"snippets": []}) == [("missing_toc", None, ""), ("toc_targets", None, "1/0")]
+
+
+def test_books_of_all_pages(spark):
+    got = {tuple(r) for r in plans.QUERIES["verify_books"](spark, SF).collect()}
+    pages, want = read("pages"), set()
+    for book, rows in pages.groupby(pages["page_id"] // 10):
+        keeps = [k % 17 != 4 for k in rows["page_id"]]
+        want |= {(book, "empty_article_body", k % 10 + 2, f"Article {k}") for k in rows["page_id"] if k % 17 == 4}
+        want |= {(book, "missing_toc", None, "")} if book % 5 == 1 else set()
+        want |= {(book, "toc_targets", None, f"{len(rows) - 1}/{len(rows)}")} if book % 7 == 2 else set()
+        want |= set() if any(k and "<img" in h.lower() for k, h in zip(keeps, rows["html"], strict=True)) else {(book, "missing_image", None, "")}
+        flat = lambda h: re.sub(r"\s", "", re.sub("<[^>]+>", "", h))
+        for h in rows["html"]:
+            m = re.search(r"(?i)<p[^>]*>([^<]*\w[^<]*)</p>", h)
+            if m and not any(k and flat(m[1]) in flat(x) for k, x in zip(keeps, rows["html"], strict=True)):
+                want.add((book, "missing_body_content", None, m[1]))
+    assert got == want and {x[1] for x in got} >= {"empty_article_body", "missing_body_content", "missing_toc", "toc_targets"}
