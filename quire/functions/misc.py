@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Categories in the order of their tests, and the texts that an error of each holds.
@@ -139,6 +143,36 @@ def running_mean_rounded(values: Column) -> Column:
     return F.aggregate(values, start, lambda a, x: F.struct((a["n"] + 1).alias("n"), F.round((a["mean"] * a["n"] + x) / (a["n"] + 1)).alias("mean")), lambda a: a["mean"])
 
 
+def fold_running_means(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(group, mean, n) of frames (group, value) that hold each group's values together and in order: block by block."""
+    group, mean, n = None, 0.0, 0
+    for f in frames:
+        out = []
+        for g, x in zip(f["group"], f["value"], strict=True):
+            if n and g != group:
+                out.append((group, mean, n))
+                mean, n = 0.0, 0
+            group, n = g, n + 1
+            total = (mean * (n - 1) + x) / n
+            mean = float(math.floor(total + 0.5) if total >= 0 else math.ceil(total - 0.5))  # as F.round
+        yield pd.DataFrame(out, columns=["group", "mean", "n"])
+    if n:
+        yield pd.DataFrame([(group, mean, n)], columns=["group", "mean", "n"])
+
+
+def running_means(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, mean, n): the mean of each group's values in order, rounded after each. A task reads its groups as a sorted
+    stream, so no group is one value; the fold of one group is one task's work."""
+    kept = rows.select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    ordered = kept.where("value is not null").repartition("group").sortWithinPartitions("group", "order")
+    return ordered.select("group", "value").mapInPandas(fold_running_means, "group string, mean double, n long")
+
+
+def column_count(rows: Column) -> Column:
+    """Columns of a table (array of rows, each an array of cells): the width of its widest row, 0 without rows."""
+    return F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+
+
 def json_object(text: Column) -> Column:
     """From the first { to the last }, if that parses, else null."""
     found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import misc as M
 from quire.operators import batching, book, frontier, state, verify
 from quire.plans.registry import query, table
+from quire.session import ship
 
 STATUS = ["success", "failed", "retrying", "skipped", "processing"]
 STATUS_SQL = "['success', 'failed', 'retrying', 'skipped', 'processing'][1 + (event_id % 5)]"
@@ -232,9 +233,23 @@ def output_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT source AS group, round(avg(round(n_chars)), 3) IS NOT NULL AS has_mean, count(*) AS n FROM documents GROUP BY source""")
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mean rounded after each value."""
-    rows = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"].cast("double")).alias("v"))
-    return rows.select("group", M.running_mean_rounded(F.col("v")).isNotNull().alias("has_mean"), F.size("v").cast("long").alias("n"))
+    """Sources that have a mean; ``running_mean_values`` gives it."""
+    return running_mean_values(spark, sf_dir).select("group", F.col("mean").isNotNull().alias("has_mean"), "n")
+
+
+@query("""WITH RECURSIVE d AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+w AS (SELECT source, k, round(n_chars::DOUBLE) AS mean FROM d WHERE k = 1 UNION ALL SELECT d.source, d.k, round((w.mean * w.k + d.n_chars) / d.k) FROM w JOIN d ON d.source = w.source AND d.k = w.k + 1)
+SELECT source AS "group", arg_max(mean, k) AS mean, max(k) AS n FROM w GROUP BY source""")
+def running_mean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mean rounded after each value, in order of doc_id."""
+    ship(spark)
+    return M.running_means(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, max(len(string_split(line, '|'))) AS columns FROM l GROUP BY doc_id""")
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the widest row, lines as rows."""
+    return table(spark, sf_dir, "documents").select("doc_id", M.column_count(F.transform(F.split("text", "\n", -1), lambda x: F.split(x, r"\|", -1))).cast("long").alias("columns"))
 
 
 @query("""WITH m AS (SELECT doc_id, doc_id::VARCHAR AS index, CASE WHEN doc_id % 50 = 7 THEN 'u0' ELSE 'u' || doc_id END AS url, CASE WHEN doc_id % 40 = 1 THEN 'bad' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 30 <> 5),

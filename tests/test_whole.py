@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire import plans
-from quire.functions import ipa
+from quire.functions import ipa, misc
 from quire.functions import text as T
 from quire.html import operators as H
 from quire.markdown import adapters
@@ -164,3 +164,19 @@ def test_books_of_all_pages(spark):
             if m and not any(k and flat(m[1]) in flat(x) for k, x in zip(keeps, rows["html"], strict=True)):
                 want.add((book, "missing_body_content", None, m[1]))
     assert got == want and {x[1] for x in got} >= {"empty_article_body", "missing_body_content", "missing_toc", "toc_targets"}
+
+
+def test_running_means_across_blocks(spark, tmp_path):
+    rows = [(k, f"s{(k % 7) // 3}", (k * 7919) % 5000 + (k % 2)) for k in range(6000)]
+    spark.createDataFrame(rows[::-1], "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, s, x in rows:
+        mean, n = want.get(s, (0.0, 0))
+        want[s] = (float(int((mean * n + x) / (n + 1) + 0.5)), n + 1)
+    got = plans.QUERIES["running_mean_values"](spark, str(tmp_path)).collect()
+    assert {r["group"]: (r["mean"], r["n"]) for r in got} == want and len(got) == 3
+
+
+def test_running_mean_rounds_each_step(spark):
+    frames = [pd.DataFrame({"group": ["a", "a"], "value": [1.0, 2.0]}), pd.DataFrame({"group": ["a", "b"], "value": [2.0, 5.0]})]
+    assert pd.concat(misc.fold_running_means(iter(frames))).values.tolist() == [["a", 2.0, 3], ["b", 5.0, 1]]
