@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.misc import contains_text, fonts_match
+from quire.markdown.transform import annotation_violations
+
+#: Types of annotations.
+ANNOTATION_TYPES = ["word", "phrasal-verb", "idiom", "collocation", "native-expression", "technical-term", "slang", "grammar-pattern", "discourse-logic", "register-usage", "writing-pattern", "concept"]
 
 
 def _issues(rows: DataFrame, kind: str, when: Column, detail: Column) -> DataFrame:
@@ -180,3 +184,34 @@ def annotation_issues(rows: DataFrame) -> DataFrame:
         "prompt": (F.length("prompt") > 160) | ((F.col("prompt") != "") & ~F.col("prompt").rlike(han)),
     }
     return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("rule"))
+
+
+def annotation_type_issues(rows: DataFrame) -> DataFrame:
+    """The rule of ``annotation_issues`` that needs a column type: one of the known types."""
+    known = F.coalesce(F.col("type").isin(ANNOTATION_TYPES), F.lit(False))
+    return rows.where(~known).select("id", F.lit("type").alias("rule"))
+
+
+def coverage_issues(segments: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, rule): segments without an answer, answers that no segment asked for, and ids answered more than once."""
+    counts = answers.groupBy("id").agg(F.count("*").alias("n"))
+    rule = lambda rows, name: rows.select("id", F.lit(name).alias("rule"))
+    missing_, extra = segments.join(counts, "id", "left_anti"), counts.join(segments, "id", "left_anti")
+    return rule(missing_, "missing").unionByName(rule(extra, "extra")).unionByName(rule(counts.where("n > 1"), "repeated"))
+
+
+def response_issues(segments: DataFrame, answers: DataFrame, most: int) -> DataFrame:
+    """Coverage, and for each answer to a segment density, prompts, place, protection and overlap. segments: id, text,
+    protected array<struct<start, end>>; answers: id, annotations array<struct<quote, occurrence, prompt>>."""
+
+    @F.pandas_udf("array<string>")
+    def run(text: pd.Series, protected: pd.Series, found: pd.Series) -> pd.Series:
+        def one(t: str, p: list | None, f: list | None) -> list[str]:
+            segment = {"text": t, "protected": [(x["start"], x["end"]) for x in ([] if p is None else p)]}
+            given = [{k: x[k] for k in ("quote", "occurrence", "prompt")} for x in ([] if f is None else f)]
+            return annotation_violations(segment, given, most)
+
+        return pd.Series([one(*x) for x in zip(text, protected, found, strict=True)], dtype=object)
+
+    broken = segments.join(answers, "id").select("id", F.explode(run("text", "protected", "annotations")).alias("rule"))
+    return coverage_issues(segments, answers).unionByName(broken)

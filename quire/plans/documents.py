@@ -146,11 +146,24 @@ def translated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def annotation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MD30, MD31, MD32, V4, X5."""
+    """MD30, MD31, MD32, X5."""
     rows = written(spark, sf_dir).select("page_id", F.explode(K.annotation_segments(F.col("md"))).alias("s"))
     return rows.select("page_id", "s.id", "s.start", "s.end", F.size("s.protected").alias("protected"))
 
 
+@query()
+def annotation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, V2, V3 (type), V4, V5: answers to all segments of all pages, some of them wrong by the number of their page."""
+    rows = written(spark, sf_dir).select("page_id", F.explode(K.annotation_segments(F.col("md"))).alias("s"))
+    k = F.col("page_id") % 9
+    segments = rows.select("page_id", F.concat_ws("/", "page_id", "s.id").alias("id"), "s.text", "s.protected")
+    note = lambda n, kind="word": F.struct(F.when(k == 4, "no such quote").otherwise(F.substring("text", 1, 1)).alias("quote"), F.lit(n).alias("occurrence"), F.when(k == 3, "问").otherwise("").alias("prompt"), F.when(k == 5, "odd").otherwise(kind).alias("type"))
+    one, two, three = F.array(note(1)), F.array(note(1), note(1)), F.array(note(1), note(1), note(1), note(1))
+    answers = segments.where(k != 0).select(F.when(k == 1, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"), F.explode(F.array_repeat(F.when(k == 2, three).when(k == 3, two).otherwise(one), F.when(k == 6, 2).otherwise(1))).alias("annotations"))
+    types = answers.select("id", F.explode("annotations.type").alias("type"))
+    return verify.response_issues(segments, answers, 3).unionByName(verify.annotation_type_issues(types))
+
+
 @query()
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1, ST2, ST7: the events as a stream, one state for each URL."""

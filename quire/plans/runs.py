@@ -357,7 +357,7 @@ def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'credentials' WHEN 1 THEN 'domain' WHEN 2 THEN 'address' WHEN 3 THEN 'size' WHEN 4 THEN 'type' END AS refused FROM pages""")
 def resource_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V10, SRC9, A9."""
+    """V10, SRC9; ``resource_totals`` has A9."""
     k = F.col("page_id") % 6
     rows = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, "https://a:b@x.org/").when(k == 1, "https://y.org/").otherwise("https://x.org/p").alias("url"), F.when(k == 2, "10.0.0.1").otherwise("93.184.216.34").alias("address"), F.when(k == 3, 10**8).otherwise(10).alias("bytes"), F.when(k == 4, "image/png").otherwise("text/html").alias("content_type"))
     return verify.response_guards(rows, ["x.org"], 5 << 20).select("page_id", "refused")
@@ -365,12 +365,18 @@ def resource_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id AS id, ['quote', 'occurrence', 'explanation', 'example', 'prompt'][1 + doc_id % 6] AS rule FROM documents WHERE doc_id % 6 < 5""")
 def annotation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1, V2, V3, V5."""
+    """V3 but for the type; ``annotation_responses`` has that, V1, V2, V4 and V5."""
     k = F.col("doc_id") % 6
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(k == 0, "").otherwise("a phrase").alias("quote"), F.when(k == 1, 0).otherwise(1).alias("occurrence"), F.when(k == 2, "plain").otherwise("说明").alias("explanation"), F.when(k == 3, "two words").otherwise("This is fine.").alias("example"), F.when(k == 4, "no han").otherwise("").alias("prompt"))
     return verify.annotation_issues(rows)
 
 
+@query("""SELECT count(*) AS requests, sum(length(html))::BIGINT AS bytes, count(*) FILTER (page_id % 3 = 0) AS revalidated FROM pages""")
+def resource_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, bytes, revalidations."""
+    return table(spark, sf_dir, "pages").agg(F.count("*").alias("requests"), F.sum(F.length("html")).alias("bytes"), F.count_if(F.col("page_id") % 3 == 0).alias("revalidated"))
+
+
 @query("""WITH u AS (SELECT doc_id % 97 AS w, doc_id % 5 AS v FROM documents) SELECT 'w' || w AS word, min('/' || v || '/') AS ipa FROM u GROUP BY w HAVING count(DISTINCT v) = 1""")
 def ipa_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M22, D22, SRC15."""

@@ -180,3 +180,24 @@ def test_running_means_across_blocks(spark, tmp_path):
 def test_running_mean_rounds_each_step(spark):
     frames = [pd.DataFrame({"group": ["a", "a"], "value": [1.0, 2.0]}), pd.DataFrame({"group": ["a", "b"], "value": [2.0, 5.0]})]
     assert pd.concat(misc.fold_running_means(iter(frames))).values.tolist() == [["a", 2.0, 3], ["b", 5.0, 1]]
+
+
+def test_responses_cover_segments_within_limits(spark):
+    ship(spark)
+    segments = spark.createDataFrame([(k, "a b c d", [(6, 7)]) for k in "pqrstuv"], "id string, text string, protected array<struct<start:int,end:int>>")
+    note = lambda q, p="": (q, 1, p)
+    given_ = {"p": [note("a"), note("b")], "q": [note("a"), note("b"), note("c")], "r": [note("a", "x"), note("b", "y")], "s": [note("d")], "t": [note("a b"), note("b")], "u": [note("z")], "w": []}
+    rows = [*given_.items(), ("p", [note("a")])]
+    answers = spark.createDataFrame(rows, "id string, annotations array<struct<quote:string,occurrence:int,prompt:string>>")
+    got = sorted((r["id"], r["rule"]) for r in verify.response_issues(segments, answers, 2).collect())
+    assert got == [("p", "repeated"), ("q", "density"), ("r", "prompts"), ("s", "protected"), ("t", "overlap"), ("u", "quote_missing"), ("v", "missing"), ("w", "extra")]
+    kinds = spark.createDataFrame([("a", "idiom"), ("b", "odd"), ("c", None)], "id string, type string")
+    assert sorted(r["id"] for r in verify.annotation_type_issues(kinds).collect()) == ["b", "c"]
+
+
+def test_responses_of_all_pages(spark):
+    rules = {}
+    for r in plans.QUERIES["annotation_responses"](spark, SF).collect():
+        rules.setdefault(r["rule"], set()).add(int(r["id"].split("/")[0]) % 9)
+    one = {"density": {2}, "prompts": {3}, "quote_missing": {4}, "type": {5}, "repeated": {6}, "missing": {0, 1}, "extra": {1}}
+    assert {k: rules.get(k) for k in one} == one
