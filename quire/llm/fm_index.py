@@ -5,28 +5,37 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """A bit vector with a directory: rank in constant time, 1.5 bits a bit."""
+
+    def __init__(self, bit: np.ndarray):
+        self.words = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        at = place >> 6
+        inside = self.words[at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[at] + np.bitwise_count(inside)
+
+
 class WaveletMatrix:
-    """Rank over a sequence of numbers, a bit vector for each of their bits; n * log2(largest) bits and a directory."""
+    """Rank over a sequence of numbers, a bit vector for each of their bits; n * log2(largest) bits and directories."""
 
     def __init__(self, sequence: np.ndarray):
         self.n = len(sequence)
         self.depth = max(1, int(sequence.max(initial=0)).bit_length())
-        self.bits, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         for level in range(self.depth - 1, -1, -1):
             bit = (sequence >> level & 1).astype(bool)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-self.n % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            ones = np.cumsum(np.bitwise_count(packed), dtype=np.int64)
-            self.bits.append(packed)
-            self.before.append(np.concatenate([[0], ones[:-1]]).astype(np.int32))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(self.n - bit.sum()))
             sequence = np.concatenate([sequence[~bit], sequence[bit]])
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place, counted from the start of the symbol's run (see ``first``)."""
         for k in range(self.depth):
-            at = place >> 6
-            inside = self.bits[k][at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.before[k][at] + np.bitwise_count(inside)
+            ones = self.bits[k].rank(place)
             place = np.where(symbol >> (self.depth - 1 - k) & 1, self.zeros[k] + ones, place - ones)
         return place
 
@@ -36,23 +45,25 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences of symbols from 1, joined by 0.
+    """Index of sequences of symbols from 1, each ended by 0, with a key for each sequence.
 
-    Suffixes are sorted by their first ``depth`` symbols, a power of two of at least ``width``: as many as backward
-    search ever matches here. ``block`` numbers the classes of suffixes with the same first ``width`` symbols.
+    Kept are the Burrows-Wheeler transform in a wavelet matrix, a bit vector that marks where the suffixes' first
+    ``width`` symbols change, the marks' places, and for each such block the smallest key (``least``). The suffix order
+    itself is dropped: it is sorted by ``depth`` symbols, a power of two of at least ``width``, as many as backward
+    search ever matches here.
     """
 
-    def __init__(self, symbols: np.ndarray, width: int):
+    def __init__(self, symbols: np.ndarray, keys: np.ndarray, width: int):
         n, span = len(symbols), 1
         self.n, self.width, rank, part = n, width, symbols.astype(np.int64), None
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while span < width:
             if 2 * span > width and part is None:
                 part, part_span = rank, span
             after = np.zeros(n, np.int64)
             after[: n - span] = rank[span:] + 1
             key = rank * (n + 2) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.empty(n, np.int64)
             new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
             rank, span = new, 2 * span
@@ -61,9 +72,10 @@ class FMIndex:
         shifted = np.full(n, -1)
         shifted[: n - (width - part_span)] = part[width - part_span :]
         differs = (part[order][1:] != part[order][:-1]) | (shifted[order][1:] != shifted[order][:-1])
-        self.order = order
-        self.block = np.cumsum(np.concatenate([[0], differs]))
-        self.block_start = np.concatenate([[0], np.flatnonzero(differs) + 1, [n]])
+        self.marks = Bits(np.concatenate([[True], differs]))
+        self.starts = np.concatenate([[0], np.flatnonzero(differs) + 1, [n]]).astype(np.int32)
+        owner = np.cumsum(symbols == 0) - (symbols == 0)
+        self.least = np.minimum.reduceat(keys[owner[order]], self.starts[:-1])
         self.sigma = int(symbols.max(initial=0)) + 1
         self.tree = WaveletMatrix(symbols[order - 1])
         counts = np.bincount(symbols, minlength=self.sigma)
@@ -84,12 +96,23 @@ class FMIndex:
             low[on], high[on] = self.left(text[start[on] + length[on] - 1 - t], low[on], high[on])
         return low, high
 
+    def _longest(self, text: np.ndarray, start: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """How many symbols from each start the index holds, of less than ``below``: by doubling, then bisection."""
+        least, most, probe = np.zeros(len(start), np.int64), below - 1, np.ones(len(start), np.int64)
+        while len(on := np.flatnonzero(least < most)):
+            half = np.minimum(probe[on], most[on])
+            a, b = self.interval(text, start[on], half)
+            fits = a < b
+            least[on], most[on] = np.where(fits, half, least[on]), np.where(fits, most[on], half - 1)
+            probe[on] = np.where(fits & (2 * half <= most[on]), 2 * half, (least[on] + most[on] + 1) // 2)
+        return least
+
     def matching_statistics(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place of the spans text[start:end] the longest match with the index that starts there, ``width`` at
         most and inside the span, and, where it is ``width``, the block of its matches; else -1.
 
         All spans are read from right to left at once. A match of full width goes on as its block: that drops its last
-        symbol. Where a symbol doesn't fit, the longest shorter match that it fits is found by bisection.
+        symbol. Where a symbol doesn't fit, the longest shorter match that it fits is searched for.
         """
         long, block = np.zeros(len(text), np.int32), np.full(len(text), -1, np.int64)
         by_size = np.argsort(start - end, kind="stable")
@@ -103,17 +126,11 @@ class FMIndex:
             length = have[:on] + 1
             lost = np.flatnonzero(down >= up)
             if len(lost):
-                least, most = np.zeros(len(lost), np.int64), length[lost] - 1
-                while (least < most).any():
-                    half = (least + most + 1) // 2
-                    a, b = self.interval(text, at[lost], half)
-                    fits = a < b
-                    least, most = np.where(fits, half, least), np.where(fits, most, half - 1)
-                length[lost] = least
-                down[lost], up[lost] = self.interval(text, at[lost], least)
+                length[lost] = self._longest(text, at[lost], length[lost])
+                down[lost], up[lost] = self.interval(text, at[lost], length[lost])
             full = length >= self.width
-            found = self.block[np.minimum(down, self.n - 1)]
-            low[:on], high[:on] = np.where(full, self.block_start[found], down), np.where(full, self.block_start[found + 1], up)
+            found = self.marks.rank(np.minimum(down, self.n - 1) + 1) - 1
+            low[:on], high[:on] = np.where(full, self.starts[found], down), np.where(full, self.starts[found + 1], up)
             have[:on] = np.minimum(length, self.width)
             long[at], block[at] = have[:on], np.where(full, found, -1)
         return long, block

@@ -1,4 +1,4 @@
-"""Substring dedup: a compressed FM-index per shard, against which the shard's passages are streamed."""
+"""Substring dedup: a compressed FM-index per shard, against which other documents' runs are streamed."""
 
 from __future__ import annotations
 
@@ -12,153 +12,201 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, binaries, slices
 from quire.llm.fm_index import FMIndex
-from quire.llm.windows import Words, minimizer_runs, spans_hash
+from quire.llm.windows import Words, minimizer_runs, normal
 
-#: ``kind``: "run" of a cold minimizer, "hot" run, or "window" of a hot run (``of_group``, ``of_piece``), at place ``at`` in it.
-PIECES = "kind string, key long, text_hash long, start int, words int, group long, piece_hash long, of_group long, of_piece long, at int, piece binary"
+#: Bits of ``role``: a piece is in the index, a piece is streamed against it.
+INDEXED, STREAMED = 1, 2
+#: A document's run of windows: ``group`` is their minimizer, ``content`` names its words exactly.
+RUN = "group long, content binary, key long"
+#: A distinct run, with its words, by the document of the smallest key that has it; ``last``: the largest key that has it.
+PIECE = "group long, content binary, key long, last long, role int, hot boolean, piece binary"
+#: What a shard holds.
+DEALT = "shard long, content binary, key long, last long, role int, piece binary"
+FOUND = "content binary, spans array<struct<`from`:int,`to`:int,least:long>>"
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _names(spec: str) -> list[str]:
+    return [c.split()[0] for c in spec.split(", ")]
 
 
-def run_keys(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(group, key): the minimizers of each document's windows."""
+def _batch(spec: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(_names(spec))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[x.split()[1]]) for c, x in zip(columns, spec.split(", "), strict=True)], names=_names(spec))
+
+
+def document_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """The distinct runs of each document (``RUN``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owner, _, _, low = minimizer_runs(Words.of(binaries(batch.column(1))), width, gram)
-            yield pa.RecordBatch.from_arrays([_signed(low), batch.column(0).take(pa.array(owner))], names=["group", "key"])
+            w = Words.of([normal(t) for t in binaries(batch.column(1))])
+            owner, first, stop, low = minimizer_runs(w, width, gram)
+            names = w.names(first, stop + width - 1)
+            once = np.array(list({x: k for k, x in enumerate(zip(owner.tolist(), names, strict=True))}.values()), np.int64)
+            arrays = [pa.array(low[once].view(np.int64)), pa.array(names, pa.binary()).take(pa.array(once)), batch.column(0).take(pa.array(owner[once]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=_names(RUN))
 
-    return docs.select("key", "text").mapInArrow(run, "group long, key long")
+    return docs.select("key", "text").mapInArrow(run, RUN)
 
 
 def cut_pieces(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """Pieces of documents under shared minimizers (``PIECES``); ``docs`` has ``groups``: (group, hot).
-
-    A piece is a run's windows. A task gives a cold piece's words, or the windows of a hot one by their hashes, once for
-    each smaller key that it meets with the piece: copies cost a row each, not their words or windows.
-    """
+    """The words of runs (``PIECE``); ``docs`` has ``wanted``: (content, last, role, hot) of the runs to take from a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[tuple[int, int], int] = {}
+        of, done = None, set()  # rows of equal keys come together: each run is given once
         for batch in slices(batches):
-            key, text_hash = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            w = Words.of(binaries(batch.column(1)))
+            w = Words.of([normal(t) for t in binaries(batch.column(1))])
             owner, first, stop, low = minimizer_runs(w, width, gram)
-            lists = batch.column(3)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            entry = lists.flatten()
-            group, hot = entry.field("group").to_numpy(zero_copy_only=False), entry.field("hot").to_numpy(zero_copy_only=False)
-            by = np.lexsort((group, row))
-            row, group, hot = row[by], group[by], hot[by]
-            mark = np.empty(len(row) + len(low), dtype=[("row", np.int64), ("group", np.int64)])
-            mark["row"], mark["group"] = np.concatenate([row, owner]), np.concatenate([group, low.view(np.int64)])
-            _, same = np.unique(mark, return_inverse=True)
-            state = np.zeros(same.max(initial=0) + 1, np.int8)
-            state[same[: len(row)]] = 1 + hot
-            state = state[same[len(row) :]]
-            cold, warm = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
-            runs = np.concatenate([cold, warm])
-            if not len(runs):
-                continue
-            begin, end, text = first[runs], stop[runs] + width - 1, owner[runs]
-            content = spans_hash(w.hash, begin, end).view(np.int64)
-            name = low[runs].view(np.int64)
-            words: list[bytes | None] = [None] * len(runs)
-            fresh = np.zeros(len(runs), bool)
-            for k, (pair, doc) in enumerate(zip(zip(name.tolist(), content.tolist(), strict=True), key[text].tolist(), strict=True)):
-                if least.get(pair, doc + 1) > doc:
-                    least[pair] = doc
-                    fresh[k] = True
-                    if k < len(cold):
-                        words[k] = w.text(int(begin[k]), int(end[k]))
-            opened = np.flatnonzero(fresh[len(cold) :]) + len(cold)
-            many = end[opened] - begin[opened] - width + 1
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            parent = np.repeat(opened, many)
-            window = begin[parent] + at
-            own = spans_hash(w.hash, window, window + width).view(np.int64)
-            blank = pa.nulls(len(runs), pa.int64())
-            both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind)])
-            kinds = ["run"] * len(cold) + ["hot"] * len(warm)
-            arrays = [
-                pa.array(kinds + ["window"] * len(window)),
-                both(key[text], key[text[parent]], pa.int64()),
-                both(text_hash[text], text_hash[text[parent]], pa.int64()),
-                both((begin - w.first[text]).astype(np.int32), (window - w.first[text[parent]]).astype(np.int32), pa.int32()),
-                both((end - begin).astype(np.int32), np.full(len(window), width, np.int32), pa.int32()),
-                both(name, own, pa.int64()),
-                both(content, own, pa.int64()),
-                pa.concat_arrays([blank, pa.array(name[parent])]),
-                pa.concat_arrays([blank, pa.array(content[parent])]),
-                both(np.zeros(len(runs), np.int32), at.astype(np.int32), pa.int32()),
-                pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(len(window), pa.binary())]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in PIECES.split(", ")])
-
-    return docs.select("key", "text", "text_hash", "groups").mapInArrow(run, PIECES)
-
-
-def cut_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(group, piece_hash, key, piece) of single windows; ``docs`` has ``starts``: (group, start)."""
+            names = w.names(first, stop + width - 1)
+            keys, wanted = batch.column(0).to_pylist(), [{x["content"]: x for x in r} for r in batch.column(2).to_pylist()]
+            rows = []
+            for k, name, group, a, b in zip(owner.tolist(), names, low.view(np.int64).tolist(), first.tolist(), (stop + width - 1).tolist(), strict=True):
+                x = wanted[k].get(name)
+                if keys[k] != of:
+                    of, done = keys[k], set()
+                if x and name not in done:
+                    done.add(name)
+                    rows.append((group, name, of, x["last"], x["role"], x["hot"], w.text(a, b)))
+            yield _batch(PIECE, rows)
+
+    return docs.select("key", "text", "wanted").mapInArrow(run, PIECE)
+
+
+def open_windows(pieces: DataFrame, width: int) -> DataFrame:
+    """Windows of pieces by name: the smallest key that has each in a batch, where, and the largest ``last``."""
+    spec = "group long, window binary, key long, content binary, at int, last long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for key, text, starts in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
-                pieces = [b" ".join(words[s["start"] : s["start"] + width]) for s in starts]
-                names = pa.array([s["group"] for s in starts], pa.int64())
-                yield pa.RecordBatch.from_arrays([names, names, pa.array([key] * len(starts), pa.int64()), pa.array(pieces, pa.binary())], names=["group", "piece_hash", "key", "piece"])
+            found: dict[tuple[int, bytes], list] = {}
+            w = Words.of(batch.column(4).to_pylist())
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for group, content, key, last, a, b in zip(*columns, w.first.tolist(), w.last.tolist(), strict=True):
+                at = np.arange(a, b - width + 1)
+                for k, name in enumerate(w.names(at, at + width)):
+                    x = found.setdefault((group, name), [key, content, k, last])
+                    if key < x[0]:
+                        x[:3] = key, content, k
+                    x[3] = max(x[3], last)
+            yield _batch(spec, [(*g, *x) for g, x in found.items()])
 
-    return docs.select("key", "text", "starts").mapInArrow(run, "group long, piece_hash long, key long, piece binary")
+    return pieces.select("group", "content", "key", "last", "piece").mapInArrow(run, spec)
 
 
-def search_shards(pieces: DataFrame, width: int, shard_words: int) -> DataFrame:
-    """(group, piece_hash, spans): for each distinct piece its windows (from, to), and the smallest key that has them.
+def cut_segments(pieces: DataFrame, width: int) -> DataFrame:
+    """Stretches of windows of a piece that go to the same bucket; ``pieces`` has ``places``: (at, bucket)."""
+    spec = "group long, bucket long, salts long, key long, piece binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for group, salts, key, piece, places in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                words = piece.split(b" ")
+                at = sorted({(x["bucket"], x["at"]) for x in places})
+                begin = 0
+                for k in range(1, len(at) + 1):
+                    if k == len(at) or at[k] != (at[k - 1][0], at[k - 1][1] + 1):
+                        rows.append((group, at[begin][0], salts, key, b" ".join(words[at[begin][1] : at[k - 1][1] + width])))
+                        begin = k
+            yield _batch(spec, rows)
 
-    Groups of pieces make up shards of about ``shard_words`` words; each shard gets an FM-index, and its pieces are
-    streamed against it by backward search. Matching statistics of ``width`` words name the class of equal windows.
+    return pieces.select("group", "salts", "key", "piece", "places").mapInArrow(run, spec)
+
+
+def route(pieces: DataFrame, width: int) -> DataFrame:
+    """Pieces once for each bucket that their windows belong to."""
+    spec = "group long, bucket long, salts long, content binary, key long, last long, piece binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for group, buckets, salts, content, key, last, piece in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+                to = {0}
+                if buckets > 1:
+                    w = Words.of([piece])
+                    at = np.arange(len(w) - width + 1)
+                    to = {int.from_bytes(x[:4], "big") % buckets for x in w.names(at, at + width)}
+                rows += [(group, b, salts, content, key, last, piece) for b in sorted(to)]
+            yield _batch(spec, rows)
+
+    return pieces.select("group", "buckets", "salts", "content", "key", "last", "piece").mapInArrow(run, spec)
+
+
+def deal_hot(hot: DataFrame, scratch: Scratch, width: int, gram: int, most: int) -> DataFrame:
+    """Pieces of hot groups as shards of about ``most`` pieces and ``most`` windows (``DEALT``).
+
+    Only windows that two documents share are indexed, each from its first holder, in buckets by window name. The group's
+    pieces are streamed against the buckets that their windows belong to, salted where they are many; a bucket's index
+    goes to each of its salts. Rows grow with the pieces, not with their square.
+    """
+    windows = open_windows(hot, width).groupBy("group", "window").agg(F.min(F.struct("key", "content", "at")).alias("first"), F.max("last").alias("z"))
+    windows = scratch.put(windows.where("first.key < z").select("group", "window", "first.*"), "hot_windows")
+    share = F.least(F.lit(1.0), (width - gram + 1) / F.col("buckets"))
+    sizes = windows.groupBy("group").agg(F.ceil(F.count("*") / most).alias("buckets")).join(hot.groupBy("group").agg(F.count("*").alias("n")), "group")
+    sizes = scratch.put(sizes.select("group", "buckets", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * share / most)).alias("salts")), "hot_sizes")
+    bucket = F.conv(F.hex(F.substring("window", 1, 4)), 16, 10).cast("long") % F.col("buckets")
+    places = windows.join(sizes, "group").select("content", "salts", F.struct(F.col("at"), bucket.alias("bucket")).alias("place"))
+    places = scratch.put(places.groupBy("content", "salts").agg(F.collect_set("place").alias("places")), "hot_places")
+    indexed = cut_segments(hot.join(places, "content"), width).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    streamed = route(hot.join(sizes, "group"), width).withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts")))
+    blank = {"content": F.lit(None).cast("binary"), "last": F.lit(None).cast("long")}
+    both = indexed.withColumns(blank | {"role": F.lit(INDEXED)}).unionByName(streamed.withColumn("role", F.lit(STREAMED)))
+    return both.withColumn("shard", F.xxhash64("group", "bucket", "salt")).select(*_names(DEALT))
+
+
+def search_shards(dealt: DataFrame, width: int, shard_words: int) -> DataFrame:
+    """(content, spans) of streamed pieces (``FOUND``): windows (from, to), and the smallest key that the index has them of.
+
+    Shards are taken together up to about ``shard_words`` words. Their indexed pieces make up an FM-index, against which
+    the streamed ones are read by backward search; matching statistics of ``width`` words are reported.
     """
 
     def solve(table: list[pa.RecordBatch]) -> pa.RecordBatch:
-        group, content, key = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in table]) for k in range(3))
-        pieces = [p for b in table for p in b.column(3).to_pylist()]
-        order = np.lexsort((key, content, group))  # one of each piece, with its smallest key
-        keep = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1])])]
-        group, content, key = group[keep], content[keep], key[keep]
-        w = Words.of([pieces[k] for k in keep.tolist()])
-        _, number = np.unique(w.hash, return_inverse=True)
+        once = {}
+        for b in table:
+            for content, key, last, role, piece in zip(*[b.column(k).to_pylist() for k in range(1, 6)], strict=True):
+                once[role, content or piece] = min(once.get((role, content or piece), (key, last, piece)), (key, last, piece))
+        role, content = np.array([r for r, _ in once]), [c for _, c in once]
+        key, last = np.array([x[0] for x in once.values()], np.int64), [x[1] for x in once.values()]
+        indexed, streamed = role & INDEXED > 0, np.flatnonzero(role & STREAMED)
+        if not indexed.any() or not len(streamed):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], spans_kind)], names=_names("content binary, spans"))
+        w = Words.of([x[2] for x in once.values()])
         size = w.last - w.first
         end = np.cumsum(size + 1) - 1
-        symbols = np.zeros(len(number) + len(keep), np.int64)
-        inside = np.ones(len(symbols), bool)
+        inside = np.ones(end[-1] + 1, bool)
         inside[end] = False
-        symbols[inside] = number + 1
-        index = FMIndex(symbols, width)
-        owner = np.repeat(np.arange(len(keep)), size + 1)
-        smallest = np.minimum.reduceat(key[owner[index.order]], index.block_start[:-1])
-        lanes = -(-(size - width + 1) // 256)  # long pieces go in parts, all at once
+        symbols = np.zeros(len(inside), np.int64)
+        symbols[inside] = w.numbers()
+        index = FMIndex(symbols[np.repeat(indexed, size + 1)], key[indexed], width)
+        lanes = -(-(size[streamed] - width + 1) // 256)  # long pieces go in parts, all at once
         part = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = np.repeat(end - size, lanes) + 256 * part
-        long, block = index.matching_statistics(symbols, start, np.minimum(start + 256 + width - 1, np.repeat(end, lanes)))
+        start, stop = np.repeat((end - size)[streamed], lanes) + 256 * part, np.repeat(end[streamed], lanes)
+        long, block = index.matching_statistics(symbols, start, np.minimum(start + 256 + width - 1, stop))
         at = np.flatnonzero(long >= width)
-        found, whose = smallest[block[at]], owner[at]
-        new = np.concatenate([[True], (found[1:] != found[:-1]) | (whose[1:] != whose[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, bool)
+        owner = np.searchsorted(end, at)
+        found = index.least[block[at]]
+        useful = found < np.array([key[k] if x is None else x for k, x in enumerate(last)], np.int64)[owner]
+        at, owner, found = at[useful], owner[useful], found[useful]
+        new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
         begin = np.flatnonzero(new)
-        last = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
-        whose = whose[begin]
-        base = (end - size)[whose]
-        spans = pa.StructArray.from_arrays([pa.array((at[begin] - base).astype(np.int32)), pa.array((at[last] + 1 - base).astype(np.int32)), pa.array(found[begin])], names=["from", "to", "least"])
-        offsets = np.searchsorted(whose, np.arange(len(keep) + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(content), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["group", "piece_hash", "spans"])
+        stops = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
+        base = (end - size)[owner[begin]]
+        fields = [(at[begin] - base).astype(np.int32), (at[stops] + 1 - base).astype(np.int32), found[begin]]
+        spans = pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["from", "to", "least"])
+        whose, many = np.unique(owner[begin], return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), spans)
+        return pa.RecordBatch.from_arrays([pa.array([content[k] for k in whose.tolist()], pa.binary()), lists], names=["content", "spans"])
+
+    spans_kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("least", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if n >= 6 * shard_words:  # bytes; up to the last change of group
+            if n >= 6 * shard_words:  # bytes; up to the last change of shard
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 other = np.flatnonzero(keys != held[-1].column(0)[held[-1].num_rows - 1].as_py())
                 cut = int(other[0]) if len(other) else batch.num_rows
@@ -172,89 +220,92 @@ def search_shards(pieces: DataFrame, width: int, shard_words: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = pieces.select("group", "piece_hash", "key", "piece").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "group long, piece_hash long, spans array<struct<`from`:int,`to`:int,least:long>>")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, width: int, gram: int, most: int, shard_words: int) -> DataFrame:
-    """(key, text_hash, spans): places of words (from, to) in windows that a document with a smaller key has too.
+def repeated_runs(docs: DataFrame, scratch: Scratch, width: int, gram: int, most: int, shard_words: int) -> DataFrame:
+    """(key, runs): of each document the runs, as (content, spans), with windows (from, to) that a smaller key has too.
 
-    ``docs``: key, text, text_hash. Only windows whose minimizer two documents share can repeat; they go to shards by
-    minimizer, so equal windows meet and no document is read against all shards. A minimizer of over ``most`` runs is
-    dealt again by whole windows, of which those that two documents share are indexed.
+    ``docs``: key, text. Only windows whose minimizer two documents share can repeat; they go to shards by minimizer, so
+    equal windows meet and no document is read against all shards. Each distinct run is searched once, whatever the number
+    of its copies. Groups of over ``most`` distinct runs are dealt by windows (``deal_hot``).
     """
-    runs = scratch.put(run_keys(docs, width, gram), "runs")
-    counted = runs.groupBy("group").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"))
-    shared = scratch.put(counted.where("a < z").select("group", (F.col("n") > most).alias("hot")), "shared")
-    groups = runs.join(shared, "group").groupBy("key").agg(F.collect_set(F.struct("group", "hot")).alias("groups"))
-    groups = scratch.put(groups, "groups")
+    runs = scratch.put(document_runs(docs, width, gram), "runs")
+    shared = scratch.put(runs.groupBy("group").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("group"), "shared")
+    runs = scratch.put(runs.join(shared, "group"), "shared_runs")
     scratch.drop("runs", "shared")
-    pieces = scratch.put(cut_pieces(docs.join(groups, "key"), width, gram), "pieces")
-    scratch.drop("groups")
-    cold = pieces.where("piece is not null").select("group", "piece_hash", "key", "piece")
-    windows = pieces.where("kind = 'window'").groupBy("group").agg(F.min(F.struct("key", "text_hash", "start")).alias("least"), F.max("key").alias("z"))
-    windows = windows.where("least.key < z").groupBy("least.key", "least.text_hash").agg(F.collect_list(F.struct("group", "least.start")).alias("starts"))
-    windows = scratch.put(windows, "windows")
-    hot = cut_windows(docs.join(windows, ["key", "text_hash"]), width)
-    found = scratch.put(search_shards(cold.unionByName(hot), width, shard_words), "found")
-    places = pieces.where("kind <> 'hot'").drop("words", "piece").join(found, ["group", "piece_hash"])
-    earlier = F.transform(F.filter("spans", lambda s: s["least"] < F.col("key")), lambda s: F.struct((F.col("start") + s["from"]).alias("from"), (F.col("start") + s["to"] + width - 1).alias("to")))
-    places = places.where((F.col("kind") == "window") | F.exists("spans", lambda s: s["least"] < F.col("key")))
-    places = scratch.put(places.withColumn("earlier", earlier), "places")
-    # Of a hot run: all of it in documents after the first that has it; in that one, windows that an earlier one has.
-    first = pieces.where("kind = 'hot'").groupBy("group", "piece_hash").agg(F.min("key").alias("first"))
-    inner = places.where("kind = 'window'").select(F.col("of_group").alias("group"), F.col("of_piece").alias("piece_hash"), F.struct("at", F.col("spans")[0]["least"].alias("least")).alias("w"))
-    inner = inner.groupBy("group", "piece_hash").agg(F.collect_set("w").alias("inner"))
-    hot_found = scratch.put(first.join(inner, ["group", "piece_hash"], "left"), "hot_found")
-    copies = pieces.where("kind = 'hot'").select("key", "text_hash", "start", "words", "group", "piece_hash").join(hot_found, ["group", "piece_hash"])
-    whole = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("words")).alias("to")))
-    part = F.transform(F.filter(F.coalesce("inner", F.array().cast("array<struct<at:int,least:long>>")), lambda x: x["least"] < F.col("key")), lambda x: F.struct((F.col("start") + x["at"]).alias("from"), (F.col("start") + x["at"] + width).alias("to")))
-    copies = copies.select("key", "text_hash", F.when(F.col("first") < F.col("key"), whole).otherwise(part).alias("spans")).where(F.size("spans") > 0)
-    found_spans = places.where("kind = 'run'").select("key", "text_hash", F.col("earlier").alias("spans")).unionByName(copies)
-    spans = scratch.put(found_spans.groupBy("key", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    scratch.drop("pieces", "windows", "found", "places", "hot_found")
-    return spans
-
-
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 8, most: int = 1000, shard_words: int = 750_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    distinct = scratch.put(runs.groupBy("content").agg(F.min("group").alias("group"), F.min("key").alias("key"), F.max("key").alias("last")), "distinct")
+    groups = scratch.put(distinct.groupBy("group").agg(F.min("key").alias("a"), F.max("last").alias("z"), (F.count("*") > most).alias("hot")), "groups")
+    role = F.when(F.col("key") < F.col("z"), INDEXED).otherwise(0) + F.when((F.col("last") > F.col("key")) | (F.col("key") > F.col("a")), STREAMED).otherwise(0)
+    wanted = distinct.join(groups, "group").groupBy("key").agg(F.collect_list(F.struct("content", "last", role.alias("role"), "hot")).alias("wanted"))
+    wanted = scratch.put(wanted, "wanted")
+    scratch.drop("distinct", "groups")
+    pieces = scratch.put(cut_pieces(docs.join(wanted, "key"), width, gram), "pieces")
+    scratch.drop("wanted")
+    dealt = pieces.where("not hot").select(F.col("group").alias("shard"), *_names(DEALT)[1:])
+    hot = pieces.where("hot")
+    if hot.limit(1).count():
+        dealt = dealt.unionByName(deal_hot(hot, scratch, width, gram, most))
+    found = scratch.put(search_shards(dealt, width, shard_words), "found")
+    scratch.drop("pieces", "hot_windows", "hot_sizes", "hot_places")
+    earlier = F.transform(F.filter("spans", lambda s: s["least"] < F.col("key")), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to")))
+    copies = runs.join(found, "content").where(F.exists("spans", lambda s: s["least"] < F.col("key")))
+    lists = scratch.put(copies.groupBy("key").agg(F.collect_set(F.struct("content", earlier.alias("spans"))).alias("runs")), "lists")
+    scratch.drop("shared_runs", "found")
+    return lists
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, most: int = 512, shard_words: int = 750_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The input's columns, and: n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text.
 
     Words are what ASCII white space separates, unchanged. A word goes if it stands in a window of ``width`` words that
     also starts in a document with a smaller key; windows are judged on the input. ``kept_text`` is the text itself if
-    nothing goes, else the kept words joined by one space. Input columns of these names are replaced.
+    nothing goes, else the kept words joined by one space. Input columns of these names are replaced, others kept.
 
     Null texts have no words, and stay null as kept_text. Rows with a null key lose nothing and take nothing from others.
-    Rows with equal keys take nothing from each other. The key is a whole number. Words are compared by 64-bit hashes.
-    Every row gives one row. A task holds one shard of the index, or 1 MB of text; a longer text is held whole.
+    Rows with equal keys take nothing from each other. The key is a whole number. Words are compared by their bytes, runs
+    by 128 bits of BLAKE2b. Every row gives one row, an empty table none. A task holds one shard of the index, or 1 MB of
+    text; a longer text is held whole.
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    spans = repeated_spans(source.withColumn("text_hash", F.xxhash64("text")), scratch, width, gram, most, shard_words)
+    lists = repeated_runs(source, scratch, width, gram, most, shard_words)
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     rest = [c for c in docs.columns if c not in names]
-    kinds = docs.select(rest).schema
-    hashed = docs.select(*rest).withColumns({"__key": F.col(key).cast("long"), "__hash": F.xxhash64(text)})
-    joined = hashed.join(spans.withColumnsRenamed({"key": "__key", "text_hash": "__hash", "spans": "__spans"}), ["__key", "__hash"], "left")
+    joined = docs.select(*rest).withColumn("__key", F.col(key).cast("long")).join(lists.select(F.col("key").alias("__key"), F.col("runs").alias("__runs")), "__key", "left")
+
+    def removed(texts: list[bytes], lists: list[list[dict]]) -> list[np.ndarray]:
+        """For each text which of its words go."""
+        w = Words.of(texts)
+        owner, first, stop, _ = minimizer_runs(w, width, gram)
+        spans: list[dict[bytes, list[dict]]] = [{} for _ in texts]
+        for own, runs in zip(spans, lists, strict=True):
+            for x in runs:
+                own.setdefault(x["content"], []).extend(x["spans"])
+        gone = np.zeros(len(w) + 1, np.int64)
+        for k, name, a in zip(owner.tolist(), w.names(first, stop + width - 1), first.tolist(), strict=True):
+            for s in spans[k].get(name, ()):
+                gone[a + s["from"]] += 1
+                gone[a + s["to"] + width - 1] -= 1
+        gone = np.cumsum(gone) > 0
+        return [gone[a:b] for a, b in zip(w.first.tolist(), w.last.tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = binaries(batch.column(rest.index(text)))
-            lists = batch.column(len(rest))
+            bodies = [normal(t) for t in texts]
+            lists = batch.column(len(rest)).to_pylist()
+            hit = [k for k, x in enumerate(lists) if x and bodies[k]]
+            gone = dict(zip(hit, removed([bodies[k] for k in hit], [lists[k] for k in hit]), strict=True)) if hit else {}
             out: tuple[list, ...] = ([], [], [], [])
-            for t, found in zip(texts, lists.to_pylist(), strict=True):
-                words = t.split() if t else []
-                if found:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, [s["from"] for s in found], 1)
-                    np.add.at(gone, [s["to"] for s in found], -1)
-                    kept = [w for w, n in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not n]
-                else:
-                    kept = words
-                body = b" ".join(kept)
-                for to, x in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body if len(kept) < len(words) else t), strict=True):
+            for k, (t, body) in enumerate(zip(texts, bodies, strict=True)):
+                n, lost = body.count(b" ") + 1 if body else 0, 0
+                if k in gone and (lost := int(gone[k].sum())):
+                    body = t = b" ".join([x for x, g in zip(body.split(b" "), gone[k].tolist(), strict=True) if not g])
+                for to, x in zip(out, (n, lost, hashlib.sha256(body).hexdigest(), t), strict=True):
                     to.append(x)
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(rest))], *arrays], names=[*rest, *names])
 
-    schema = kinds.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
-    return joined.select(*rest, "__spans").mapInArrow(run, schema)
+    schema = docs.select(rest).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
+    return joined.select(*rest, "__runs").mapInArrow(run, schema)

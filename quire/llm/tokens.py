@@ -7,7 +7,7 @@ import os
 
 import numpy as np
 
-from quire.llm.wordhash import HashTable, hash_spans
+from quire.llm.wordhash import HashTable, Spans
 
 
 class WordTokens:
@@ -17,7 +17,8 @@ class WordTokens:
     other characters stands alone, and merges stay inside a pre-token. So a text whose lines are words separated by
     single spaces is the encodings of its words in turn, ``" word"`` inside a line, ``"word"`` at its start, a line feed
     between lines. Texts with other runs of white space, and files with another normalizer or pre-tokenizer, are encoded
-    whole. Up to ``most`` words are kept.
+    whole. Up to ``most`` words are kept, found by a hash and compared by their bytes: a text with a word whose hash
+    another word holds is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 2_000_000):
@@ -38,6 +39,9 @@ class WordTokens:
         self.feed = feed
         #: By word number: where its ids start and how many they are; -1 for words around which white space isn't single.
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: By word number: its first 16 bytes and its size; by number of longer words: their bytes.
+        self.low, self.high, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.longer: dict[int, bytes] = {}
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -51,8 +55,12 @@ class WordTokens:
         each = [self._library(w) for w in words]
         return np.concatenate(each), np.array([len(x) for x in each])
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, spans: Spans, at: np.ndarray) -> None:
         """New words, a space before those inside a line; one learned without its full stop is encoded without it."""
+        number, words = self.table.size, [spans.bytes(i) for i in at.tolist()]
+        self.low, self.high, self.size = (np.concatenate([old, new[at]]) for old, new in ((self.low, spans.low), (self.high, spans.high), (self.size, spans.size)))
+        self.longer.update((number + k, x) for k, x in enumerate(words) if len(x) > 16)
+        words = [x.decode() for x in words]
         stems: dict[str, int] = {}
         stem, stop = np.zeros(len(words), np.int64), np.full(len(words), -1)
         for k, w in enumerate(words):
@@ -80,7 +88,7 @@ class WordTokens:
         self.start = np.concatenate([self.start, len(self.ids) + place])
         self.length = np.concatenate([self.length, np.where(stem < 0, -1, length)])
         self.ids = np.concatenate([self.ids, out])
-        self.table.add(keys)
+        self.table.add(spans.hash[at])
 
     #: Marks that a merge never joins to the letter before them: the pre-tokenizer cuts there.
     STOPS = ".,!"
@@ -100,16 +108,16 @@ class WordTokens:
         head = np.zeros(len(start), bool)
         opening = np.searchsorted(start, first)
         head[opening] = True
-        keys = hash_spans(data, start - spaced, end)
-        number = self.table.find(keys)
+        spans = Spans(data, start - spaced, end)
+        number = self.table.find(spans.hash)
         new = np.flatnonzero(number < 0)
         if len(new):
-            fresh, at = np.unique(keys[new], return_index=True)
-            spans = zip((start - spaced)[new[at]].tolist(), end[new[at]].tolist(), strict=True)
-            raw = data.tobytes()
-            self._learn(fresh, [raw[a:b].decode() for a, b in spans])
-            number[new] = self.table.find(keys[new])
-        size = self.length[number]
+            self._learn(spans, new[np.unique(spans.hash[new], return_index=True)[1]])
+            number[new] = self.table.find(spans.hash[new])
+        unlike = (self.low[number] != spans.low) | (self.high[number] != spans.high) | (self.size[number] != spans.size)
+        for i in np.flatnonzero((spans.size > 16) & ~unlike).tolist():
+            unlike[i] = self.longer[int(number[i])] != spans.bytes(i)
+        size = np.where(unlike, -1, self.length[number])
         odd = np.add.reduceat(size < 0, opening) > 0
         odd &= np.array([len(t) > 0 for t in texts])
         feeds = ~head & ~spaced  # words after a line feed of their text

@@ -1,22 +1,16 @@
-"""Words of many texts as 64-bit hashes, and tables of such hashes, in whole-array operations."""
+"""Words of many texts as 64-bit hashes, exact forms of them, and tables of such hashes, in whole-array operations."""
 
 from __future__ import annotations
 
-import numpy as np
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_LETTER = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+import hashlib
 
+import numpy as np
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Keeps the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one by BLAKE2b.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,12 +20,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each span, equal for equal bytes: a polynomial in a fixed odd number, mod 2**64."""
-    up, down = _powers_to(len(data) + 1)[:2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+class Spans:
+    """Spans data[start:end] of bytes: ``low`` and ``high`` hold the first 16 bytes, ``size`` the length, ``hash`` all.
+
+    Two spans of up to 16 bytes are equal if and only if low, high and size are; ``same`` compares longer ones byte by byte.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.data, self.start, self.size = data, start, end - start
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self._eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        self.low, self.high = self._chunk(0, slice(None)), self._chunk(1, slice(None))
+        h = mix((self.size.astype(np.uint64) + np.uint64(1)) * _SPREAD[0] ^ self.low)
+        h = mix(h * _SPREAD[1] + self.high)
+        more, k = np.flatnonzero((self.size > 16) & (self.size <= _LONG)), 2
+        while len(more):
+            h[more] = mix(h[more] * _SPREAD[1] + self._chunk(k, more))
+            k += 1
+            more = more[self.size[more] > 8 * k]
+        for i in np.flatnonzero(self.size > _LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.bytes(i), digest_size=8).digest(), "little")
+        self.hash = h
+
+    def _chunk(self, k: int, of: slice | np.ndarray) -> np.ndarray:
+        """Bytes 8k to 8k + 8 of spans, zeros past their ends."""
+        at = np.minimum(self.start[of] + 8 * k, len(self._eight) - 1)
+        return self._eight[at] & _FIRST[np.clip(self.size[of] - 8 * k, 0, 8)]
+
+    def bytes(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.start[i] + self.size[i]].tobytes()
 
 
 class HashTable:

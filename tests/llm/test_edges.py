@@ -90,6 +90,50 @@ def test_substrings(docs, none, most):
     assert out.where("n_removed = 0 and not (kept_text <=> text)").count() == 0
 
 
+def test_substrings_of_equal_rows_and_hot_passages(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    passage, line = " ".join(word() for _ in range(70)), " ".join(word() for _ in range(25))
+    rows = [(7, f"same {passage} row")] * 40
+    rows += [(100 + k, " ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))])) for k in range(30)]
+    rows += [(200 + k, " ".join([*(word() for _ in range(40)), line, *(word() for _ in range(40))])) for k in range(30)]
+    rows += [(300 + k, rows[40 + 30 + k][1].replace(" a", " a" if k % 2 else " x", 1)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (512, 4):
+        got = substrings.remove_repeats(docs, most=most, shard_words=900).drop("text", "kept_text").collect()
+        assert sorted(map(tuple, got), key=str) == plain_substrings(rows, 50)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    x, y = thue_morse(11)
+    rows = [(1, " ".join([x, *(f"w{k}" for k in range(60))])), (2, " ".join([y, *(f"w{k}" for k in range(49))])), (3, " ".join([*[x, y] * 30])), (4, " ".join([*[y, x] * 30]))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("text", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == plain_substrings(rows, 50)
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_words_of_one_hash_keep_their_ids(monkeypatch, bits):
+    from quire.llm import tokens, windows, wordhash
+
+    x, y = thue_morse(10)
+    texts = ["x", f"q {x}", f"q {y}", "one two three", "three two one one", "a\nb c\nd", "", "aa bb " * 20, "a word of over sixteen bytes: incomprehensibilities incomprehensibilitiez"]
+    monkeypatch.setattr(wordhash, "mix", lambda h: h & np.uint64(2**bits - 1))
+    encoder = tokens.WordTokens(tokenizer_file("byte_bpe_50k.json"))
+    plain = library("byte_bpe_50k.json")
+    for _ in range(2):
+        ids, counts = encoder.encode([t.encode() for t in texts])
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    numbers = windows.Words.of([t.encode() for t in ("a b c a", f"{x} {y} {x}")]).numbers().tolist()
+    assert numbers[0] == numbers[3] and numbers[4] == numbers[6] and len(set(numbers)) == 5
+
+
 def plain_fingerprint(text, width=3):
     import xxhash
 
