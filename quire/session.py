@@ -24,6 +24,7 @@ def ship(spark: SparkSession) -> None:
     a session with the default size are made smaller."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # documents are long: smaller batches
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     context = spark.sparkContext
     if getattr(context, "_quire_shipped", False):
         return
