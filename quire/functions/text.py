@@ -216,9 +216,3 @@ def merge_ranges(ranges: Column) -> Column:
 
 def overlaps(ranges: Column, start: Column, end: Column) -> Column:
     return F.exists(ranges, lambda r: (r["start"] < end) & (r["end"] > start))
-
-
-def ga_ipa(text: Column) -> Column:
-    """Slashes taken off, and r-coloured vowels as one sign; stress decides between them."""
-    bare = F.regexp_replace(F.trim(text), "^/|/$", "")
-    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(bare, "(ˈ[^ˈˌ]*)ɝ", "$1ɝ"), "ər", "ɚ"), F.lit("/"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import url as U
+from quire.storage import Scratch
 
 
 def from_list(df: DataFrame, urls: str = "urls", title: str = "Custom Selection") -> DataFrame:
@@ -47,14 +48,18 @@ def unique(rows: DataFrame, key: str = "normal", order: str = "raw_index") -> Da
     return rows.groupBy(key).agg(F.min_by(value, F.col(order)).alias("__v")).select(key, "__v.*")
 
 
-def dense_index(rows: DataFrame, order: str = "raw_index", name: str = "final_index", buckets: int = 64) -> DataFrame:
-    """0, 1, ... by arrival without one task for all rows: ranges of the order are numbered apart, from running counts."""
-    ranged = rows.repartitionByRange(buckets, order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").count()
-    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
-    out = numbered.join(F.broadcast(before.select("__part", "__before")), "__part")  # a row for each of the buckets
-    return out.withColumn(name, (F.col("__before") + F.col("__n")).cast("long")).drop("__part", "__n", "__before")
+def dense_index(rows: DataFrame, order: str = "raw_index", name: str = "final_index") -> DataFrame:
+    """0, 1, ... by ``order``, without one task for all rows.
+
+    One exchange deals the rows to sorted ranges, as many as their size asks for; each row gets its range and its place
+    there. They are written before the ranges are counted: a second run of the exchange would cut other ranges.
+    """
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = Scratch(rows.sparkSession).put(ranged, "ranged").withColumn("__part", F.shiftright("__at", 33))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row for each range
+    before = counts.select("__part", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = ranged.join(F.broadcast(before), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
 
 
 def last_section(raw: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from quire.operators import derive, verify
 from quire.plans.registry import query
 from quire.plans.registry import table as plain_table
 from quire.session import ship
+from quire.storage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,10 +170,9 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.streaming import status as S
 
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
     import uuid
 
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     names = ["success", "failed", "retrying", "skipped", "processing"]
     stream = spark.readStream.schema("event_id long, user_id long").parquet(f"{sf_dir}/events.parquet*")
     events = stream.select(F.col("user_id").alias("url"), F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 5 + 1).cast("int")).alias("status"), F.col("event_id").alias("event_seq"))

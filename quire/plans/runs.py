@@ -377,13 +377,6 @@ def resource_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").agg(F.count("*").alias("requests"), F.sum(F.length("html")).alias("bytes"), F.count_if(F.col("page_id") % 3 == 0).alias("revalidated"))
 
 
-@query("""WITH u AS (SELECT doc_id % 97 AS w, doc_id % 5 AS v FROM documents) SELECT 'w' || w AS word, min('/' || v || '/') AS ipa FROM u GROUP BY w HAVING count(DISTINCT v) = 1""")
-def ipa_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M22, D22, SRC15."""
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("w"), (F.col("doc_id") % 97).cast("string")).alias("word"), F.concat(F.lit("/"), (F.col("doc_id") % 5).cast("string"), F.lit("/")).alias("ipa"))
-    return d.groupBy("word").agg(F.countDistinct("ipa").alias("n"), F.min("ipa").alias("ipa")).where("n = 1").select("word", "ipa")
-
-
 @query("""WITH us AS (SELECT 'w' || k AS word, '/u' || k || '/' AS ipa FROM range(0, 50) t(k)), uk AS (SELECT 'w' || k AS word, '/k' || k || '/' AS ipa FROM range(25, 80) t(k))
 SELECT doc_id, us.ipa AS us, uk.ipa AS uk FROM documents LEFT JOIN us ON us.word = 'w' || (doc_id % 100) LEFT JOIN uk ON uk.word = 'w' || (doc_id % 100)""")
 def ipa_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

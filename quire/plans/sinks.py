@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,13 +13,13 @@ from quire.operators import state
 from quire.plans.registry import query, table
 from quire.plans.runs import LATEST, STATS, events
 from quire.session import ship
+from quire.storage import shared_dir
 from quire.sources import files
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder that all can reach: in the checkpoint folder if there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{base}/out-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 @query(f"{STATS} SELECT total, succeeded, failed, skipped, processed, pending, percentage FROM t")
@@ -126,13 +125,55 @@ def canonical_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))).alias("json"))
 
 
-@query()
+def sql_us(x: str) -> str:
+    for pattern, sign in ipa.US_SIGNS:
+        x = f"regexp_replace({x}, '{pattern}', '{sign}', 'g')"
+    return x
+
+
+def sql_uk(x: str) -> str:
+    """Of texts without stress marks."""
+    for sign, other in ipa.UK_SIGNS.items():
+        x = f"replace({x}, '{sign}', '{other}')"
+    return x
+
+
+PLAIN = "replace(trim(coalesce(text, '')), '’', chr(39))"
+
+
+@query(
+    rf"""SELECT doc_id, {sql_us("coalesce(text, '')")} AS us, '/' || regexp_replace({sql_uk("coalesce(text, '')")}, '\s+', '', 'g') || '/' AS uk,
+CASE WHEN regexp_full_match({PLAIN}, '[A-Za-z]+(?:[\x27-][A-Za-z]+)*') THEN lower({PLAIN}) END AS word FROM documents"""
+)
 def ipa_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M20, M21, M23, on whole texts."""
     ship(spark)
 
-    @F.pandas_udf("us string, uk string, word string")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(ipa.us(x), ipa.uk(list(x)), ipa.lookup_word(x)) for x in s.fillna("")], columns=["us", "uk", "word"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
+    @F.pandas_udf("string")
+    def word(s: pd.Series) -> pd.Series:
+        return s.map(ipa.lookup_word, na_action="ignore")
+
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", ipa.us_column(text).alias("us"), ipa.uk_column(text).alias("uk"), word("text").alias("word"))
+
+
+SAID = "translate(word, 'erl', 'əɹɫ')"
+
+
+@query(
+    rf"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents)
+SELECT 'us' AS accent, word, {sql_us(f"'/' || CASE WHEN length(word) % 2 = 0 THEN 'ˈ' ELSE '' END || {SAID} || '/'")} AS ipa FROM w WHERE length(word) % 5 <> 0
+UNION ALL SELECT 'uk', word, '/' || {sql_uk(SAID)} || '/' FROM w WHERE length(word) % 5 NOT IN (0, 1)"""
+)
+def ipa_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15, D22, M20, M21, M22: dictionary files of all words of documents, read again. Words of some lengths have several
+    pronunciations; in the American file others have an older line above."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).select(F.lower("word").alias("word")).distinct()
+    said, many = F.expr(SAID), F.length("word") % 5
+    root = folder(spark)
+    first = F.concat("word", F.lit("\t/old/\n"), F.upper("word"), F.lit("\t/"), F.when(F.length("word") % 2 == 0, "ˈ").otherwise(""), said, F.lit("/"))
+    words.select(F.when(many == 0, F.concat("word", F.lit("\t/a/, /b/"))).otherwise(first)).write.text(f"{root}/us")
+    line = F.concat(F.upper("word"), F.lit(", "), F.array_join(F.split(said, ""), " "))
+    words.select(F.when(many == 0, F.concat("word", F.lit("(1), a b"))).when(many == 1, F.concat(line, F.lit("\n"), line)).otherwise(line)).write.text(f"{root}/uk")
+    read = [files.read_pronunciations(spark, f"{root}/{a}", a).select(F.lit(a).alias("accent"), "word", "ipa") for a in ("us", "uk")]
+    return read[0].unionByName(read[1])

@@ -59,7 +59,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("raw_index") % 3 == 0, "other").otherwise(F.col("section")).alias("section"),
     )
     rows = pages.unionByName(again)
-    names = frontier.dense_index(rows.select("section").distinct(), "section", "section_index", 8)
+    names = frontier.dense_index(rows.select("section").distinct(), "section", "section_index")
     return rows.join(names, "section")
 
 

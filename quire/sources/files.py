@@ -9,6 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import ipa
+from quire.session import ship
+
 PAGES = "page_id long, url string, html string"
 SECTIONS = "index int, title string, entryUrl string, pages array<struct<index:string,url:string,order:int>>"
 STATE = "version int, runIdentity string, artifacts map<string,struct<path:string,sha256:string>>, processedUrls array<string>, failedUrls array<struct<url:string,error:string>>, urlToIndex map<string,int>, startTime string, savedAt string"
@@ -34,11 +37,24 @@ def read_markdown(spark: SparkSession, folder: str, variant: str = "") -> DataFr
     return document_files(rows, "name", variant)
 
 
-def read_pronunciations(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
-    """(word, ipa) of a dictionary file, its first pronunciation of each word; numbered variants left out."""
-    rows = spark.read.text(path).withColumn("parts", F.split("value", separator, 2)).where(F.size("parts") == 2)
-    rows = rows.select(F.lower(F.trim(F.col("parts")[0])).alias("word"), F.trim(F.element_at(F.split(F.col("parts")[1], ","), 1)).alias("ipa"))
-    return rows.where(~F.col("word").rlike(r"\(\d+\)$")).groupBy("word").agg(F.min("ipa").alias("ipa"))
+def read_pronunciations(spark: SparkSession, path: str, accent: str = "us") -> DataFrame:
+    """(word, ipa) of a dictionary file, in normal form.
+
+    ``us``: word, tab, /signs/; lines with several pronunciations are left out, of repeated words the last line counts.
+    ``uk``: word, comma, signs between spaces; numbered variants are left out, words of several lines too.
+    """
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    mark = "\t" if accent == "us" else ","
+    cut = lines.withColumn("cut", F.locate(mark, "value")).where("cut > 1")
+    said = F.regexp_replace(F.expr("substring(value, cut + 1)"), r"^\s+|\s+$", "")
+    cut = cut.select("at", F.expr("substring(value, 1, cut - 1)").alias("word"), said.alias("said"))
+    if accent == "us":
+        fit = cut.where(~F.col("said").contains(", ") & F.col("said").rlike("^/[^/]+/$"))
+        return fit.groupBy(F.lower("word").alias("word")).agg(ipa.us_column(F.max_by("said", "at")).alias("ipa"))
+    ship(spark)
+    fit = cut.withColumn("word", F.lower(F.trim("word"))).where(~F.col("word").rlike(r"\(\d+\)$") & (F.col("said") != ""))
+    once = fit.groupBy("word").agg(F.count("*").alias("n"), F.min("said").alias("said")).where("n = 1")
+    return once.select("word", ipa.uk_column(F.col("said")).alias("ipa"))
 
 
 def write_variants(rows: DataFrame, folder: str) -> None:

@@ -165,7 +165,10 @@ def test_adapters():
 def test_pronunciations():
     assert ipa.lookup_word("Don’t") == "don't" and ipa.lookup_word("two words") is None
     assert ipa.uk(["ɪ", "n", "s", "t", "ˈeɪ"]) == "/ɪnˈsteɪ/"
-    assert ipa.us("/wɚd/") == "/wɚd/" and ipa.us("ˈwɚd") == "/ˈwɝd/"
+    uk = {"ə d v ˈaɪ z ə ɹ i": "/ədˈvaɪzəri/", "b ˈɐ n d ə l": "/ˈbʌndəl/", "ˈɛ k s t ɹ ə": "/ˈekstrə/", "s ˈɜː f ɪ s": "/ˈsɜːfɪs/", "p ə ɡ ˈɑː": "/pəˈɡɑː/", "k ə n s j ˈuː m": "/kənˈsjuːm/", "ˌ ʌ n ˈd": "/ˌʌˈnd/"}
+    assert {k: ipa.uk(k.split()) for k in uk} == uk
+    us = {"/oʊˈpeɪk/": "/oʊˈpeɪk/", "/ˈbəndəɫ/": "/ˈbʌndəl/", "/ˈkɫətɝɪŋ/": "/ˈklʌtərɪŋ/", "/ˈwɝd/": "/ˈwɜːrd/", "/ˈdɔtɝ/": "/ˈdɔtər/"}
+    assert {k: ipa.us(k) for k in us} == us
 
 
 def test_control_plane():
@@ -188,5 +191,7 @@ def test_files(spark, tmp_path):
     assert files.without(new, old, ["url"]).count() == 2
     files.write_report(old, str(tmp_path / "report"))
     assert files.read_json(spark, str(tmp_path / "report"), files.FAILURES).count() == 1
-    (tmp_path / "us.tsv").write_text("Word\t/w1/, /w2/\nword(2)\t/w3/\nbad line\n")
-    assert [tuple(r) for r in files.read_pronunciations(spark, str(tmp_path / "us.tsv")).collect()] == [("word", "/w1/")]
+    (tmp_path / "us.tsv").write_text("opaque\t/oʊˈpeɪk/\nBundle\t/x/\nbundle\t/ˈbəndəɫ/\nlead\t/ˈɫɛd/, /ˈɫid/\nbad line\nno\tslash\n")
+    assert {tuple(r) for r in files.read_pronunciations(spark, str(tmp_path / "us.tsv")).collect()} == {("opaque", "/oʊˈpeɪk/"), ("bundle", "/ˈbʌndəl/")}
+    (tmp_path / "uk.csv").write_text("BUNDLE, b ˈɐ n d ə l\nLEAD(1), l ˈiː d\nTWICE, a\nTwice, b\n\n,x\n")
+    assert [tuple(r) for r in files.read_pronunciations(spark, str(tmp_path / "uk.csv"), "uk").collect()] == [("bundle", "/ˈbʌndəl/")]
