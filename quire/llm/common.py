@@ -1,70 +1,17 @@
-"""Shared storage, identifiers and small helpers for the training-data operators."""
+"""Identifiers and small helpers for the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space, \t, \n, \v, \f, \r. ``bytes.split()`` uses the same set.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session; only where it is unset a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = made.get() if made.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator run, written once to the shared folder, so that a lost executor costs no recomputation.
-
-    ``drop`` removes those that a later table replaces; the rest goes when the driver's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-        self._fs.deleteOnExit(self._path(self.root))
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
-        return self.get(name, df)
-
-    def get(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._fs.delete(self._path(self.path(name)), True)
-
-    def clear(self) -> None:
-        self._fs.delete(self._path(self.root), True)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """A small result cut from its lineage; Spark's cleaner removes the files once nothing refers to the plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def unit_hash(*parts: Column | str) -> Column:
     """52 hash bits as a double in [0, 1); md5, so that SQL elsewhere gives the same."""
     key = F.concat_ws(":", *[F.coalesce(p.cast("string") if isinstance(p, Column) else F.lit(p), F.lit("null")) for p in parts])

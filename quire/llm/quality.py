@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_BREAKS, Scratch
+from quire.llm.common import WORD_BREAKS
+from quire.storage import Scratch
 
 #: Words in a window of the repetition count.
 WINDOW = 8

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, binaries, slices
+from quire.llm.common import binaries, slices
 from quire.llm.fm_index import FMIndex
 from quire.llm.windows import Words, minimizer_runs, normal
+from quire.storage import Scratch
 
 #: Bits of ``role``: a piece is in the index, a piece is streamed against it.
 INDEXED, STREAMED = 1, 2
@@ -155,6 +156,49 @@ def deal_hot(hot: DataFrame, scratch: Scratch, width: int, gram: int, most: int)
     return both.withColumn("shard", F.xxhash64("group", "bucket", "salt")).select(*_names(DEALT))
 
 
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("least", pa.int64())]))
+
+
+def search_shard(table: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
+    """Spans (``FOUND``) of the streamed pieces of a shard (``DEALT``), from an FM-index of its indexed ones."""
+    part = max(1, width - 12)  # windows of one span of the search: shorter than two windows
+    once = {}
+    for b in table:
+        for content, key, last, role, piece in zip(*[b.column(k).to_pylist() for k in range(1, 6)], strict=True):
+            once[role, content or piece] = min(once.get((role, content or piece), (key, last, piece)), (key, last, piece))
+    role, content = np.array([r for r, _ in once]), [c for _, c in once]
+    key, last = np.array([x[0] for x in once.values()], np.int64), [x[1] for x in once.values()]
+    indexed, streamed = role & INDEXED > 0, np.flatnonzero(role & STREAMED)
+    if not indexed.any() or not len(streamed):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], _SPANS)], names=_names("content binary, spans"))
+    w = Words.of([x[2] for x in once.values()])
+    size = w.last - w.first
+    end = np.cumsum(size + 1) - 1
+    inside = np.ones(end[-1] + 1, bool)
+    inside[end] = False
+    symbols = np.zeros(len(inside), np.int64)
+    symbols[inside] = w.numbers()
+    index = FMIndex(symbols[np.repeat(indexed, size + 1)], key[indexed], width)
+    lanes = -(-(size[streamed] - width + 1) // part)  # long pieces go in parts, all at once
+    place = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    start, stop = np.repeat((end - size)[streamed], lanes) + part * place, np.repeat(end[streamed], lanes)
+    block = index.matches(symbols, start, np.minimum(start + part + width - 1, stop))
+    at = np.flatnonzero(block >= 0)
+    owner = np.searchsorted(end, at)
+    found = index.least[block[at]]
+    useful = found < np.array([key[k] if x is None else x for k, x in enumerate(last)], np.int64)[owner]
+    at, owner, found = at[useful], owner[useful], found[useful]
+    new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
+    begin = np.flatnonzero(new)
+    stops = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
+    base = (end - size)[owner[begin]]
+    fields = [(at[begin] - base).astype(np.int32), (at[stops] + 1 - base).astype(np.int32), found[begin]]
+    spans = pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["from", "to", "least"])
+    whose, many = np.unique(owner[begin], return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), spans)
+    return pa.RecordBatch.from_arrays([pa.array([content[k] for k in whose.tolist()], pa.binary()), lists], names=["content", "spans"])
+
+
 def search_shards(dealt: DataFrame, width: int, shard_words: int) -> DataFrame:
     """(content, spans) of streamed pieces (``FOUND``): windows (from, to), and the smallest key that the index has them of.
 
@@ -162,45 +206,6 @@ def search_shards(dealt: DataFrame, width: int, shard_words: int) -> DataFrame:
     the streamed ones are read by backward search; matching statistics of ``width`` words are reported.
     """
 
-    def solve(table: list[pa.RecordBatch]) -> pa.RecordBatch:
-        once = {}
-        for b in table:
-            for content, key, last, role, piece in zip(*[b.column(k).to_pylist() for k in range(1, 6)], strict=True):
-                once[role, content or piece] = min(once.get((role, content or piece), (key, last, piece)), (key, last, piece))
-        role, content = np.array([r for r, _ in once]), [c for _, c in once]
-        key, last = np.array([x[0] for x in once.values()], np.int64), [x[1] for x in once.values()]
-        indexed, streamed = role & INDEXED > 0, np.flatnonzero(role & STREAMED)
-        if not indexed.any() or not len(streamed):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], spans_kind)], names=_names("content binary, spans"))
-        w = Words.of([x[2] for x in once.values()])
-        size = w.last - w.first
-        end = np.cumsum(size + 1) - 1
-        inside = np.ones(end[-1] + 1, bool)
-        inside[end] = False
-        symbols = np.zeros(len(inside), np.int64)
-        symbols[inside] = w.numbers()
-        index = FMIndex(symbols[np.repeat(indexed, size + 1)], key[indexed], width)
-        lanes = -(-(size[streamed] - width + 1) // 256)  # long pieces go in parts, all at once
-        part = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start, stop = np.repeat((end - size)[streamed], lanes) + 256 * part, np.repeat(end[streamed], lanes)
-        long, block = index.matching_statistics(symbols, start, np.minimum(start + 256 + width - 1, stop))
-        at = np.flatnonzero(long >= width)
-        owner = np.searchsorted(end, at)
-        found = index.least[block[at]]
-        useful = found < np.array([key[k] if x is None else x for k, x in enumerate(last)], np.int64)[owner]
-        at, owner, found = at[useful], owner[useful], found[useful]
-        new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
-        begin = np.flatnonzero(new)
-        stops = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
-        base = (end - size)[owner[begin]]
-        fields = [(at[begin] - base).astype(np.int32), (at[stops] + 1 - base).astype(np.int32), found[begin]]
-        spans = pa.StructArray.from_arrays([pa.array(f) for f in fields], names=["from", "to", "least"])
-        whose, many = np.unique(owner[begin], return_counts=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), spans)
-        return pa.RecordBatch.from_arrays([pa.array([content[k] for k in whose.tolist()], pa.binary()), lists], names=["content", "spans"])
-
-    spans_kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("least", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -213,12 +218,12 @@ def search_shards(dealt: DataFrame, width: int, shard_words: int) -> DataFrame:
                 held.append(batch.slice(0, cut))
                 if not len(other):
                     continue
-                yield solve(held)
+                yield search_shard(held, width)
                 held, n, batch = [], 0, batch.slice(cut)
             held.append(batch)
             n += batch.nbytes
         if held:
-            yield solve(held)
+            yield search_shard(held, width)
 
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
@@ -255,7 +260,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, width: int, gram: int, most
     return lists
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, most: int = 512, shard_words: int = 750_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 12, most: int = 512, shard_words: int = 750_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The input's columns, and: n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text.
 
     Words are what ASCII white space separates, unchanged. A word goes if it stands in a window of ``width`` words that
