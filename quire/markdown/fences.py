@@ -84,7 +84,7 @@ def map_prose(text: str, change: Callable[[str], str], inline: bool = False) ->
             else:
                 blocks.append((code, [line]))
             blank = empty
-        out.append("\n".join("\n".join(v) if code else _outside_spans("\n".join(v), change) if not inline else change("\n".join(v)) for code, v in blocks))
+        out.append("\n".join("\n".join(v) if code else _outside_spans("\n".join(v), change) if inline else change("\n".join(v)) for code, v in blocks))
     return "\n".join(out)
 
 

@@ -22,7 +22,7 @@ def absolute_urls(text: str, page: str) -> str:
         part = re.sub(r"(?i)(<(?:img|a)\b[^>]*?\s(?:src|href)=[\"'])([^\"']+)", lambda m: m[1] + resolve(m[2], page), part)
         return re.sub(r"(?i)(<(?:source|img)\b[^>]*?\ssrcset=[\"'])([^\"']+)", lambda m: m[1] + ", ".join(" ".join([resolve(x.split()[0], page), *x.split()[1:]]) for x in m[2].split(",") if x.strip()), part)
 
-    return map_prose(text, change)
+    return map_prose(text, change, inline=True)
 
 
 def split_glued_images(text: str) -> str:
@@ -40,16 +40,19 @@ def demote_headings(text: str) -> str:
 
 def break_underscores(text: str) -> str:
     """Escaped underscores in prose may break in print."""
-    return map_prose(text, lambda p: p.replace("\\_", "\\_\\allowbreak{}"))
+    return map_prose(text, lambda p: p.replace("\\_", "\\_\\allowbreak{}"), inline=True)
 
 
 def clean_fence_headers(text: str) -> str:
-    """Of what follows an opening fence keep the language and one {...}."""
+    """After a language, an opening fence keeps nothing but one {...}."""
 
     def header(part: str) -> str:
-        first, _, rest = part.partition("\n")
-        m = re.match(r"^(.*?(?:`{3,}|~{3,}))\s*([\w+#.-]*)([^{\n]*)(\{[^}]*\})?.*$", first)
-        return (f"{m[1]}{m[2]}{(' ' + m[4]) if m[4] else ''}" if m else first) + ("\n" + rest if _ else "")
+        first, feed, rest = part.partition("\n")
+        m = re.match(r"([ \t]*(?:>[ \t]*)*(?:`{3,}|~{3,})[A-Za-z0-9_-]+)(.*)$", first)
+        more = m[2].strip() if m else ""
+        if more:
+            first = m[1] + (f" {more}" if re.fullmatch(r"\{[^}]*\}", more) else "")
+        return first + feed + rest
 
     return "\n".join(header(p) if k == "code" else p for k, p in segments(text))
 
@@ -67,22 +70,18 @@ def plain_long_code(text: str, most: int = 100) -> str:
 
 def gap_before_tables(text: str) -> str:
     """A blank line between a paragraph and the table under it."""
-    return map_prose(text, lambda p: re.sub(r"(?m)^([^|\n]+)\n(\|[^\n]*\|[ \t]*\n\|[ :|-]+\|)", r"\1\n\n\2", p))
+    return map_prose(text, lambda p: re.sub(r"(?m)^([^|\n].*)\n(\|.*\|.*\n\|[-: ]+\|)", r"\1\n\n\2", p))
 
 
 def fix_quotes(text: str) -> str:
-    """In block quotes: no empty items, a blank line before lists, headings in bold."""
-    out: list[str] = []
-    for line, code in quoted_states(text.split("\n")):
-        if not code:
-            if re.match(r"^>\s*[-*+]\s*$", line):
-                continue
-            if (m := re.match(r"^>\s*#{1,6}\s+(.*)$", line)):
-                line = f"> **{m[1].strip()}**"
-            if re.match(r"^>\s*[-*+]\s+\S", line) and out and re.match(r"^>\s*[^\s>\-*+]", out[-1]):
-                out.append(">")
-        out.append(line)
-    return "\n".join(out)
+    """In block quotes: empty items lose their mark, a bare quote line before lists, headings in bold."""
+
+    def lists(part: str) -> str:
+        part = re.sub(r"(?m)^(>[^\S\n]*)[-*][^\S\n]*$", r"\1", part)
+        return re.sub(r"(?m)^(>(?![^\S\n]*[-*]\s).+\S)\n(>[^\S\n]*[-*][^\S\n]+\S)", r"\1\n>\n\2", part)
+
+    lines = quoted_states(map_prose(text, lists).split("\n"))
+    return "\n".join(x if code else re.sub(r"^(>\s*)#{1,6}\s+(.+?)\s*$", r"\1**\2**", x) for x, code in lines)
 
 
 def drop_index_callout(text: str) -> str:
@@ -95,103 +94,149 @@ def drop_index_callout(text: str) -> str:
     return "\n".join(lines[end:]).lstrip("\n") if end > at and "Documentation Index" in "\n".join(lines[at:end]) else text
 
 
-def table_cells(line: str) -> list[str]:
-    """Cells of a row: bars after a backslash or in code spans don't separate."""
-    body = line.strip()
-    body = body[1:] if body.startswith("|") else body
-    body = body[:-1] if body.endswith("|") and not body.endswith("\\|") else body
-    cells, fence, at = [""], "", 0
-    while at < len(body):
-        if body[at] == "`":
-            run = re.match("`+", body[at:])[0]
-            fence = "" if fence == run else fence or run
-            cells[-1] += run
-            at += len(run)
-        elif body[at] == "\\" and at + 1 < len(body):
-            cells[-1] += body[at : at + 2]
-            at += 2
-        elif body[at] == "|" and not fence:
+def table_row(line: str) -> list[str] | None:
+    """Cells of a row between outer bars, or none; bars after a backslash or in code spans don't separate."""
+    bare = line.strip()
+    if len(bare) < 2 or bare[0] != "|" or bare[-1] != "|":
+        return None
+    cells, open_run = [""], 0
+    for piece in re.findall(r"`+|\\\||\||[^`|\\]+|\\", bare[1:-1]):
+        if piece == "|" and not open_run:
             cells.append("")
-            at += 1
-        else:
-            cells[-1] += body[at]
-            at += 1
+            continue
+        cells[-1] += piece
+        if piece[0] == "`":
+            open_run = len(piece) if not open_run else 0 if open_run == len(piece) else open_run
     return [c.strip() for c in cells]
 
 
-#: Heads of tables by kind.
+def is_rule(cells: list[str] | None) -> bool:
+    return bool(cells) and all(re.fullmatch(r":?-{3,}:?", c) for c in cells)
+
+
+#: Heads of tables by kind, and the rules that give their columns fitting widths in print.
 TABLES = {"field": ("field", "required", "description"), "reference": ("key", "type / values", "details"), "metric": ("metric", "type", "fields", "description"), "sandbox": ("intent", "flags", "effect")}
-_WIDTHS = {"reference": (24, 28, 48), "metric": (26, 12, 22, 40), "sandbox": (30, 40, 30)}
+TABLE_HEADS = {
+    "reference": "| Key | Type / Values | Details |\n|:------------------------------------|:----------------------------|:----------------------------------------------------|",
+    "metric": "| Metric | Type | Fields | Description |\n|:------------------------------------------|:--------------|:------------------------------|:------------------------------------------------|",
+    "sandbox": "| Intent | Flags | Effect |\n|:--------------------------------|:----------------------------------------------|:----------------------------------------------------|",
+}
+
+
+def _table_at(lines: list[str], at: int) -> tuple[str | None, list[list[str]]]:
+    """Kind of the known table whose head stands at a line, and its body rows."""
+    head = table_row(lines[at])
+    kind = next((k for k, names in TABLES.items() if head and names == tuple(" ".join(c.split()).lower() for c in head)), None)
+    if not kind or at + 1 >= len(lines) or not is_rule(table_row(lines[at + 1])):
+        return None, []
+    rows = []
+    for line in lines[at + 2 :]:
+        cells = table_row(line)
+        if not cells or len(cells) != len(TABLES[kind]):
+            break
+        rows.append(cells)
+    return kind, rows
 
 
 def format_tables(text: str) -> str:
-    """Known reference tables with fitting column widths; field tables as paragraphs."""
+    """Known reference tables with fitting column widths and breakable code; field tables as paragraphs."""
+
+    def cell(value: str) -> str:
+        return breakable_line(re.sub(r"(\]\([^)]+\))(?=[A-Za-z0-9])", r"\1 ", value.replace("\\|", "|").strip()))
 
     def change(part: str) -> str:
         lines, out, at = part.split("\n"), [], 0
         while at < len(lines):
-            cells = tuple(c.lower() for c in table_cells(lines[at])) if lines[at].strip().startswith("|") else ()
-            kind = next((k for k, head in TABLES.items() if head == cells), None)
-            if not kind or at + 1 >= len(lines) or not re.match(r"^\s*\|[\s:|-]+\|\s*$", lines[at + 1]):
+            kind, rows = _table_at(lines, at)
+            if kind == "field":
+                for name, needed, said in rows:
+                    out += ["", r"\Needspace{4\baselineskip}", "", rf"**Field:** {name} \hfill{{}} **Required:** {needed}", "", r"\nopagebreak[4]", "", said]
+            elif kind:
+                out += [TABLE_HEADS[kind], *("| " + " | ".join(map(cell, row)) + " |" for row in rows)]
+            else:
+                out.append(lines[at])
+            at += len(rows) + 2 if kind else 1
+        return "\n".join(out)
+
+    return map_prose(text, change)
+
+
+def reference_cards(text: str) -> str:
+    """Blocks of lines Key, Type / Values and Details as three labelled paragraphs; keys that a reference table, a paragraph
+    or a block before has go."""
+
+    def name(value: str) -> str:
+        bare = value.replace("\\|", "|").strip()
+        m = re.fullmatch(r"(?s)`([^`]*)`", bare)
+        return m[1].strip() if m else bare
+
+    def change(part: str) -> str:
+        lines, out, seen, at = part.split("\n"), [], set(), 0
+        while at < len(lines):
+            kind, rows = _table_at(lines, at)
+            if kind == "reference":
+                seen |= {name(r[0]) for r in rows}
+                out += lines[at : at + 2 + len(rows)]
+                at += 2 + len(rows)
+                continue
+            full = [k for k in range(at, len(lines)) if lines[k].strip()][:6] if lines[at].strip() == "Key" else []
+            labels = [lines[k].strip() for k in full]
+            if len(full) < 6 or (labels[2], labels[4]) != ("Type / Values", "Details"):
                 out.append(lines[at])
+                if m := re.match(r"^\*\*Key:\*\*\s+(.+)$", lines[at]):
+                    seen.add(name(m[1]))
                 at += 1
                 continue
-            end = at + 2
-            while end < len(lines) and lines[end].strip().startswith("|"):
+            end = full[5]
+            while end < len(lines) and lines[end].strip():
                 end += 1
-            if kind == "field":
-                for row in map(table_cells, lines[at + 2 : end]):
-                    row += [""] * (3 - len(row))
-                    out += [f"**{row[0]}**" + (f" ({row[1]})" if row[1] else ""), "", row[2], ""]
-            else:
-                out += [lines[at], "|" + "|".join("-" * w for w in _WIDTHS[kind]) + "|", *lines[at + 2 : end]]
+            if name(labels[1]) not in seen:
+                details = " ".join(x.strip() for x in lines[full[5] : end])
+                out += [f"**Key:** {labels[1]}", "", f"**Type / Values:** {name(labels[3])}", "", f"**Details:** {details}", ""]
+                seen.add(name(labels[1]))
             at = end
         return "\n".join(out)
 
-    return "\n".join(p if k == "code" else change(p) for k, p in segments(text))
+    return map_prose(text, change)
 
 
-def reference_cards(text: str) -> str:
-    """Blocks of ``<dt>key</dt> value`` lines as bold keys, the first of each key only."""
-    seen: set[str] = set()
+#: Characters that print escapes, and those after which it may break a line.
+_ESCAPES = {"\\": r"\textbackslash{}", "$": r"\$", "%": r"\%", "&": r"\&", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+_BREAKS = set("/\\._-:|,={}[]")
+
+
+def _printed(code: str) -> str:
     out = []
-    for line in text.split("\n"):
-        m = re.match(r"^\s*<dt>(.*?)</dt>\s*(?:<dd>)?(.*?)(?:</dd>)?\s*$", line)
-        if m:
-            key = m[1].strip().lower()
-            if key in seen:
-                continue
-            seen.add(key)
-            out.append(f"**{m[1].strip()}**: {m[2].strip()}".rstrip(": "))
-        else:
-            out.append(line)
-    return "\n".join(out)
+    for before, c in zip(" " + code, code, strict=False):
+        hump = "A" <= c <= "Z" and re.match("[a-z0-9]", before)
+        out += [r"\allowbreak{}" if hump else "", _ESCAPES.get(c, c), r"\allowbreak{}" if c in _BREAKS else ""]
+    return rf"\texttt{{{''.join(out)}}}"
 
 
-#: Characters that print escapes.
-_ESCAPES = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "_": r"\_", "#": r"\#", "$": r"\$", "%": r"\%", "&": r"\&", "^": r"\^{}", "~": r"\~{}"}
+def breakable_line(line: str, least: int = 12) -> str:
+    """Long paths and names in a line's code spans as print code that may break after separators and at humps."""
+    runs, out, at, k = list(re.finditer("`+", line)), [], 0, 0
+    while k < len(runs):
+        close = next((j for j in range(k + 1, len(runs)) if len(runs[j][0]) == len(runs[k][0])), None)
+        if close is None:  # an open span: the rest of the line stays
+            break
+        code = line[runs[k].end() : runs[close].start()]
+        path = re.search(r"[\\/._:\[\]-]", code)
+        name = not re.search(r"[\\/._:\s-]", code) and re.search("[a-z0-9][A-Z]", code)
+        wide = "|" in code or len(code) >= least and (path or name)
+        out += [line[at : runs[k].start()], _printed(code) if wide else line[runs[k].start() : runs[close].end()]]
+        at, k = runs[close].end(), close + 1
+    return "".join(out) + line[at:]
 
 
-def breakable_code(text: str, least: int = 12, run: int = 13) -> str:
-    """Long paths and names in code spans as raw print code that may break after separators, at humps, after ``run`` signs."""
+def breakable_code(text: str) -> str:
+    """``breakable_line`` of all lines of prose but headings."""
+    return map_prose(text, lambda p: "\n".join(x if re.match(r"\s*#", x) else breakable_line(x) for x in p.split("\n")))
 
-    def one(m: re.Match) -> str:
-        code = m[2].strip()
-        long_ = len(code) >= least and (re.search(r"[\\/._:\[\]-]", code) or re.search(r"[a-z][A-Z]", code) and not re.search(r"\s", code))
-        if "|" not in code and not long_:
-            return m[0]
-        out, since = "", 0
-        for k, c in enumerate(code):
-            hump = k and c.isupper() and code[k - 1].islower()
-            if hump or since >= run:
-                out, since = out + r"\allowbreak{}", 0
-            out += _ESCAPES.get(c, c)
-            since += 1
-            if c in "\\/._:-":
-                out, since = out + r"\allowbreak{}", 0
-        return f"`\\texttt{{{out}}}`{{=latex}}"
 
-    return map_prose(text, lambda p: re.sub(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", one, p), inline=True)
+def callout_labels(text: str) -> str:
+    """A callout's label stays on the page of what follows."""
+    return map_prose(text, lambda p: re.sub(r"(?m)^(> \*\*(?:Note|Tip|Warning):\*\*)\n>\n", r"\1\n>\n> \\nopagebreak[4]\n>\n", p))
 
 
 def image_references(text: str) -> list[dict]:
@@ -266,7 +311,7 @@ def article(text: str, title: str | None = None, most_code: int = 100) -> str:
         if m and re.sub(r"\s+", "", m[1]).lower() == re.sub(r"\s+", "", title).lower():
             text = text[m.end() :]
     text = plain_long_code(clean_fence_headers(text), most_code)
-    for step in (gap_before_tables, break_underscores, reference_cards, format_tables, fix_quotes, size_images, breakable_code):
+    for step in (gap_before_tables, break_underscores, reference_cards, format_tables, fix_quotes, size_images, breakable_code, callout_labels):
         text = step(text)
     return demote_headings(text)
 
@@ -379,20 +424,61 @@ def annotation_violations(segment: dict, annotations: list[dict], most: int) ->
     return out
 
 
-def render_annotations(text: str, parts: list[dict], found: dict[str, list[dict]], higher: list[str], top: int = 3) -> str:
-    """Quotes marked, explanations after their paragraph, and a review of the first few, types of higher order first."""
-    edits, review = [], []
+#: Labels of annotations by type and of readers by level; types that a review asks about first.
+TYPE_LABELS = {
+    "word": "生词",
+    "phrasal-verb": "短语动词",
+    "idiom": "惯用语",
+    "collocation": "搭配",
+    "native-expression": "地道表达",
+    "technical-term": "技术术语",
+    "slang": "俚语",
+    "grammar-pattern": "语法结构",
+    "discourse-logic": "篇章逻辑",
+    "register-usage": "语域用法",
+    "writing-pattern": "写作句型",
+    "concept": "关键概念",
+}
+HIGHER_TYPES = ("grammar-pattern", "discourse-logic", "register-usage", "writing-pattern", "concept")
+LEVEL_LABELS = {"junior-high": "初中", "high-school": "高中", "university": "大学"}
+ACCENT_LABELS = {"uk": "英式", "us": "美式"}
+
+
+def plain(value: str) -> str:
+    """One line, Markdown's marks escaped."""
+    return re.sub(r"([\\`*_\[\]])", r"\\\1", " ".join(value.split()))
+
+
+def _annotation_block(indent: str, notes: list[dict], level: str) -> str:
+    lines = ["::: english-annotation", f"**英语批注 · {LEVEL_LABELS[level]}**", ""]
+    for a in notes:
+        said = a.get("ipa") or {}
+        ipa = "".join(f" · {label} IPA {plain(said[accent])}" for accent, label in ACCENT_LABELS.items() if said.get(accent))
+        lines += [f"- **{plain(a['quote'])}**（{TYPE_LABELS[a['type']]}{ipa}）：{plain(a['explanation'])}", "", f"  **例句：** {plain(a['example'])}"]
+    return "\n".join(indent + x for x in [*lines, ":::"])
+
+
+def render_annotations(text: str, parts: list[dict], found: dict[str, list[dict]], level: str = "high-school", top: int = 3) -> str:
+    """Quotes marked, a block of explanations after their paragraph, and a review of up to ``top`` prompts: types of higher
+    order first, else in order. Quotes that can't be found are not marked."""
+    edits, asked = [], []
     for p in parts:
-        notes = []
-        for a in found.get(p["id"], []):
+        notes = found.get(p["id"]) or []
+        if not notes:
+            continue
+        after = text[p["end"] : p["end"] + 2]
+        gap = "" if after == "\n\n" else "\n" if after[:1] == "\n" or not after else "\n\n"
+        edits.append((p["end"], p["end"], f"\n\n{_annotation_block(' ' * p['indent'], notes, level)}{gap}"))
+        for a in notes:
             at = locate(p["text"], a["quote"], a["occurrence"])
             if at >= 0:
-                edits.append((p["start"] + at, p["start"] + at + len(a["quote"]), f"[{a['quote']}]{{.annotated}}"))
-                ipa = "".join(f" {k.upper()} {v}" for k, v in (a.get("ipa") or {}).items())
-                notes.append(" " * p["indent"] + f"> **{a['quote']}**{ipa}: {a['explanation']}")
-                review.append(a)
-        if notes:
-            edits.append((p["end"], p["end"], "\n\n" + "\n".join(notes)))
+                edits.append((p["start"] + at, p["start"] + at + len(a["quote"]), f'<span class="english-annotation-source">{a["quote"]}</span>'))
+        asked += [a for a in notes if a.get("prompt")]
     out = apply_edits(text, edits)
-    picked = sorted(review, key=lambda a: a["type"] not in higher)[:top]
-    return out + ("\n\n## Review\n\n" + "\n".join(f"{k}. {a['quote']}" for k, a in enumerate(picked, 1)) if picked else "")
+    picked = sorted(asked, key=lambda a: a["type"] not in HIGHER_TYPES)[:top]
+    if not picked:
+        return out
+    review = ["::: english-learning-review", "**学习回顾 · 先不看批注**", "", "用自己的话回答；答不出时，再回看上方对应批注。", ""]
+    review += [f"{k}. **{plain(a['quote'])}**：{plain(a['prompt'])}" for k, a in enumerate(picked, 1)] + [":::"]
+    gap = "" if out.endswith("\n\n") else "\n" if out.endswith("\n") else "\n\n"
+    return out + gap + "\n".join(review) + "\n"

@@ -76,7 +76,7 @@ def test_conversion(html, markdown):
 def test_tables():
     html = "<table><tr><th></th><th>K</th></tr><tr><td><kbd>a|b</kbd></td></tr><tr></tr><tr><td>x<br>y</td><td><a href='u'>l</a></td></tr></table>"
     assert pipe_table(parse(html)) == "|   | K |\n| --- | --- |\n| `a\\|b` |   |\n| x<br>y | [l](u) |"
-    assert transform.table_cells("| a \\| b | `c | d` | |") == ["a \\| b", "`c | d`", ""]
+    assert transform.table_row("| a \\| b | `c | d` | |") == ["a \\| b", "`c | d`", ""]
     assert code_span("``") == "``` `` ```"
     rules = {"mark": lambda node, inner: f"=={inner}=="}
     assert Converter(rules).convert("<p><mark>m</mark></p>") == "==m=="
@@ -92,12 +92,15 @@ def test_urls_in_prose():
 def test_text_steps():
     assert transform.split_glued_images("![a](b)text\n```\n![a](b)text\n```") == "![a](b)\n\ntext\n```\n![a](b)text\n```"
     assert transform.demote_headings("# a\n```\n# b\n```\n###### c") == "## a\n```\n# b\n```\n###### c"
-    assert transform.clean_fence_headers('```js title="x" {1,2} more\na\n```') == "```js {1,2}\na\n```"
+    headers = {'```js title="x" {1,2} more': "```js", "```js {1,2}": "```js {1,2}", "````markdown theme={null}": "````markdown", "  > ```sh  {x} ": "  > ```sh {x}", "``` ": "``` ", "~~~py": "~~~py"}
+    for line, want in headers.items():
+        assert transform.clean_fence_headers(f"{line}\na {{1}}").split("\n") == [want, "a {1}"]
     assert transform.plain_long_code("```js\n" + "x" * 101 + "\n```").startswith("```\n")
     assert transform.gap_before_tables("t\n| a |\n| --- |") == "t\n\n| a |\n| --- |"
-    assert transform.fix_quotes("> # H\n> text\n> - a\n> -") == "> **H**\n> text\n>\n> - a"
+    assert transform.fix_quotes("> # H\n> text\n> - a\n> -\n> *") == "> **H**\n> text\n>\n> - a\n> \n> "
+    assert transform.fix_quotes("> -\n> text after") == "> \n> text after" and transform.fix_quotes("> ```\n> # x\n> ```") == "> ```\n> # x\n> ```"
+    assert transform.callout_labels("> **Note:**\n>\n> x") == "> **Note:**\n>\n> \\nopagebreak[4]\n>\n> x"
     assert transform.drop_index_callout("> Documentation Index\n> x\n\n# T") == "# T"
-    assert transform.reference_cards("<dt>A</dt><dd>one</dd>\n<dt>a</dt> two\nz") == "**A**: one\nz"
     assert transform.size_images("![a](x/icon-b.png)\n\n### T\n\n![c](d.png)") == "### ![a](x/icon-b.png){width=40px} T\n\n![c](d.png){width=100%}"
     assert "\\allowbreak{}" in transform.breakable_code("`/usr/local/share/x`") and transform.breakable_code("`short`") == "`short`"
     assert transform.link_spacing("[ a ](b)c") == "[a](b) c"
@@ -126,14 +129,46 @@ def test_translation():
     assert retrying(client, 2, lambda b: {k: "fallback" for k in b})({"a": "x", "b": "no"}) == {"a": "X", "b": "fallback"} and calls == [2, 2, 1, 1]
 
 
+def test_reference_tables_and_cards():
+    field = "| Field | Required | Description |\n| :--- | :--- | :--- |\n| `name` | No | Shown in `` !`a` `` lists. |"
+    assert transform.format_tables(field) == "\n\\Needspace{4\\baselineskip}\n\n**Field:** `name` \\hfill{} **Required:** No\n\n\\nopagebreak[4]\n\nShown in `` !`a` `` lists."
+    assert transform.format_tables(f"```md\n{field}\n```") == f"```md\n{field}\n```"
+    table = "| Key | Type / Values | Details |\n| --- | --- | --- |\n| `a_policy.granular` | `on \\| on-request` | [x](https://y.org)z |\n| two | cells |"
+    assert transform.format_tables(table).split("\n") == [
+        "| Key | Type / Values | Details |",
+        "|:------------------------------------|:----------------------------|:----------------------------------------------------|",
+        r"| \texttt{a\_\allowbreak{}policy.\allowbreak{}granular} | \texttt{on |\allowbreak{} on-\allowbreak{}request} | [x](https://y.org) z |",
+        "| two | cells |",
+    ]
+    assert transform.format_tables("| Intent | Flags | Effect |\n| --- | --- | --- |\n| a | `--yolo` | b |").endswith("\n| a | `--yolo` | b |")
+    card = "Key\n\n`{}`\n\nType / Values\n\n`string`\n\nDetails\n\nOnly\ncard.\n"
+    alone = transform.reference_cards(card.format("k.one"))
+    assert alone == "**Key:** `k.one`\n\n**Type / Values:** string\n\n**Details:** Only card.\n\n"
+    assert transform.reference_cards(table + "\n\n" + card.format("a_policy.granular") + "\nAfter.") == table + "\n\n\nAfter."
+    assert transform.reference_cards(alone + card.format("k.one")).count("Details") == 1
+    assert transform.breakable_line("`isolatePeerMachines` `a b` `open/path/to/x") == r"\texttt{isolate\allowbreak{}Peer\allowbreak{}Machines} `a b` `open/path/to/x"
+
+
 def test_annotations():
     parts = transform.annotation_segments("# H\n\nOne `code` here, one more here.\n\n- item one\n\n| a |\n| - |\n")
     assert [p["text"] for p in parts] == ["One `code` here, one more here.", "item one"]
     note = lambda q, n=1, **x: {"quote": q, "occurrence": n, "explanation": "e", "type": "word", **x}
     assert transform.annotation_violations(parts[0], [note("here", 2)], 1) == []
     assert transform.annotation_violations(parts[0], [note("code"), note("here"), note("here,"), note("gone")], 3) == ["density", "protected", "overlap", "quote_missing"]
-    out = transform.render_annotations("x here y", [{"id": "s", "text": "x here y", "start": 0, "end": 8, "indent": 0}], {"s": [note("here", type="concept"), note("x")]}, ["concept"])
-    assert out.startswith("[x]{.annotated} [here]{.annotated} y\n\n> **here**: e") and out.endswith("1. here\n2. x")
+    text = "The app works under the hood.\n\n- It gets going.\n"
+    parts = [{"id": "a", "text": text[:29], "start": 0, "end": 29, "indent": 0}, {"id": "b", "text": "It gets going.", "start": 33, "end": 47, "indent": 2}]
+    idiom = {"quote": "under the hood", "occurrence": 1, "type": "idiom", "explanation": "内部 *实际*", "example": "Look under the hood.", "prompt": "何时用？", "ipa": {"us": "/x/", "uk": "/y/"}}
+    logic = {"quote": "gets", "occurrence": 1, "type": "discourse-logic", "explanation": "推进", "example": "It gets better.", "prompt": "为什么？"}
+    assert transform.render_annotations(text, parts, {"a": [idiom], "b": [logic, note("gone", type="word", example="E.")]}) == (
+        'The app works <span class="english-annotation-source">under the hood</span>.\n\n::: english-annotation\n**英语批注 · 高中**\n\n'
+        "- **under the hood**（惯用语 · 英式 IPA /y/ · 美式 IPA /x/）：内部 \\*实际\\*\n\n  **例句：** Look under the hood.\n:::\n\n"
+        '- It <span class="english-annotation-source">gets</span> going.\n\n  ::: english-annotation\n  **英语批注 · 高中**\n  \n'
+        "  - **gets**（篇章逻辑）：推进\n  \n    **例句：** It gets better.\n  - **gone**（生词）：e\n  \n    **例句：** E.\n  :::\n\n"
+        "::: english-learning-review\n**学习回顾 · 先不看批注**\n\n用自己的话回答；答不出时，再回看上方对应批注。\n\n"
+        "1. **gets**：为什么？\n2. **under the hood**：何时用？\n:::\n"
+    )
+    assert transform.render_annotations(text, parts, {}) == text
+
 
 
 def test_mdx():
