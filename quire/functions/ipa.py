@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ def uk(tokens: list[str]) -> str:
 
 def uk_column(tokens: Column) -> Column:
     """``uk`` of signs between white space."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
         return rows.map(lambda x: uk(x.split()), na_action="ignore")

@@ -54,6 +54,21 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"), 1)
 
 
+def _bare(html: Column) -> Column:
+    return F.trim(F.regexp_replace(html, "<[^>]+>", ""))
+
+
+def link_texts(html: Column) -> Column:
+    """Texts of the links of ``hrefs``."""
+    plain = F.regexp_replace(strip_nontext(html), r"(?s)<!--.*?-->", "")
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"(?is)<a\b[^>]*?\shref\s*=\s*[\"'][^\"']*[\"'][^>]*>(.*?)</a>"), 1), _bare)
+
+
+def first_heading(html: Column) -> Column:
+    found = _bare(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    return F.when(found != "", found)
+
+
 def inline_code(text: Column) -> Column:
     """A code span whose fence is longer than any run of backticks inside, padded if one stands at an edge."""
     body = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A client takes {id: text} and gives {id: derived}; it may raise.
@@ -58,3 +58,37 @@ def derive(rows: DataFrame, cache: DataFrame, client: Client, size: int = 5) ->
 def incomplete(rows: DataFrame) -> DataFrame:
     """Ids without an answer: fatal for a document."""
     return rows.where("derived is null").select("id")
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
+def final_messages(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
+    """(key, lines, json, error): of each agent's lines of JSON events the last agent message, out of its code fence.
+
+    Lines that aren't JSON are skipped; errors: no final message, not JSON. The last message is a pre-aggregated maximum.
+    """
+    event = F.from_json(line, "type string, item struct<type:string,text:string>")
+    rows = lines.select(key, order, event.alias("e"))
+    is_answer = (F.col("e.type") == "item.completed") & (F.col("e.item.type") == "agent_message")
+    last = rows.groupBy(key).agg(F.count("*").alias("lines"), F.max_by("e.item.text", F.when(is_answer, F.col(order))).alias("text"), F.count_if(is_answer).alias("n"))
+    body = F.regexp_replace(F.regexp_replace(F.trim("text"), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    parsed = last.select(key, "lines", F.when((F.col("n") > 0), body).alias("json"))
+    error = F.when(F.col("json").isNull(), "no final message").when(~is_json(F.col("json")), "not JSON")
+    return parsed.select(key, "lines", F.when(error.isNull(), F.col("json")).alias("json"), error.alias("error"))
+
+
+def structured_output(envelope: Column) -> Column:
+    """struct(json, error, keys, response_length): what an envelope holds as structured_output, else as structuredOutput; a
+    string there is JSON itself. Where there is none, the envelope's keys and the length of its response."""
+    given = F.coalesce(F.get_json_object(envelope, "$.structured_output"), F.get_json_object(envelope, "$.structuredOutput"))
+    error = F.when(~is_json(envelope), "not JSON").when(given.isNull(), "no structured output").when(~is_json(given), "not JSON")
+    none = error == "no structured output"
+    return F.struct(
+        F.when(error.isNull(), given).alias("json"),
+        error.alias("error"),
+        F.when(none, F.array_sort(F.json_object_keys(envelope))).alias("keys"),
+        F.when(none, F.coalesce(F.length(F.get_json_object(envelope, "$.response")), F.lit(0))).alias("response_length"),
+    )

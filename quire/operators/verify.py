@@ -215,3 +215,12 @@ def response_issues(segments: DataFrame, answers: DataFrame, most: int) -> DataF
 
     broken = segments.join(answers, "id").select("id", F.explode(run("text", "protected", "annotations")).alias("rule"))
     return coverage_issues(segments, answers).unionByName(broken)
+
+
+def resolve_packs(packs: DataFrame, asked: DataFrame, layout: str, spec: str = "spec", order: str = "seq") -> DataFrame:
+    """``asked`` with the spec of its layout, its fingerprint (SHA-256 of the JSON, fields in the order of their names) and
+    issue: unknown, or duplicate where several packs have the id, of which the first counts."""
+    json = F.to_json(F.struct(*[F.col(f"{spec}.{c}").alias(c) for c in sorted(packs.schema[spec].dataType.names)]))
+    first = packs.groupBy(F.col(f"{spec}.id").alias(layout)).agg(F.min_by(json, order).alias("__json"), F.count("*").alias("__n"))
+    out = asked.join(first, layout, "left").withColumn("fingerprint", F.sha2("__json", 256))
+    return out.withColumn("issue", F.when(F.col("__n").isNull(), "unknown").when(F.col("__n") > 1, "duplicate")).withColumnRenamed("__json", "spec").drop("__n")

@@ -43,7 +43,7 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HT2, HT13, HT16, HT17, HT19, W18."""
+    """HT2, HT13, HT16, HT17."""
     h = F.col("html")
     rows = table(spark, sf_dir, "pages").select("page_id", H.title(h, "article").alias("t"), H.links(h, "nav a", ".ad").alias("links"), H.translatable(h).alias("parts"), F.md5(H.expanded(h)).alias("expanded"))
     return rows.select("page_id", "t.title", "t.source", F.size("links").alias("links"), F.col("links")[0]["text"].alias("first_link"), F.size("parts").alias("parts"), "expanded")

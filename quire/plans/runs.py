@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import misc as M
+from quire.functions import text as T
+from quire.functions import url as U
 from quire.operators import batching, book, frontier, state, verify
 from quire.plans.registry import query, table
+from quire.plans.texts import TITLE
+from quire.plans.urls import sql_host
 from quire.session import ship
 
 STATUS = ["success", "failed", "retrying", "skipped", "processing"]
@@ -36,7 +40,7 @@ count(*) FILTER (status IN ('success', 'failed', 'skipped')) AS processed, sum(r
 
 @query(f"{STATS} SELECT * FROM t")
 def progress_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4, A5, A8, A16, M7."""
+    """A4, A5, A16, M7."""
     return state.progress(state.latest(events(spark, sf_dir), "url"))
 
 
@@ -175,7 +179,7 @@ def cache_hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, role, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'assistant' THEN 0 ELSE 1 END, turn) AS rank FROM conversations) WHERE rank <= 3""")
 def review_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3, O4, O6, A21."""
+    """O3."""
     return batching.top(table(spark, sf_dir, "conversations"), "conv_id", F.col("role") == "assistant", "turn", 3).select("conv_id", "turn", "role", "rank")
 
 
@@ -223,7 +227,7 @@ def image_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"a": 1}' WHEN 1 THEN NULL ELSE '{"b": {"c": 2}}' END AS object, doc_id % 100 AS done, 100 AS total, 'difficult"x"' AS compacted, doc_id % 2 = 0 AS found, true AS font FROM documents""")
 def output_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M13, M14, M15, M16, M18, M19."""
+    """M13, M16, M18, M19."""
     k = F.col("doc_id") % 3
     raw = F.when(k == 0, 'noise {"a": 1} end').when(k == 1, "{broken").otherwise('```json\n{"b": {"c": 2}}\n```')
     line = M.progress_line(F.concat(F.lit("Progress: "), (F.col("doc_id") % 100).cast("string"), F.lit("/100 files processed")))
@@ -231,16 +235,10 @@ def output_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.json_object(raw).alias("object"), line["done"].cast("long").alias("done"), line["total"].alias("total"), M.compacted(F.lit("diﬃcult “x”")).alias("compacted"), M.contains_text(F.lit("difficult"), actual).alias("found"), M.fonts_match(F.lit("Noto Serif"), F.lit("ABCDEF+NotoSerif-Bold")).alias("font"))
 
 
-@query("""SELECT source AS group, round(avg(round(n_chars)), 3) IS NOT NULL AS has_mean, count(*) AS n FROM documents GROUP BY source""")
-def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that have a mean; ``running_mean_values`` gives it."""
-    return running_mean_values(spark, sf_dir).select("group", F.col("mean").isNotNull().alias("has_mean"), "n")
-
-
 @query("""WITH RECURSIVE d AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 w AS (SELECT source, k, round(n_chars::DOUBLE) AS mean FROM d WHERE k = 1 UNION ALL SELECT d.source, d.k, round((w.mean * w.k + d.n_chars) / d.k) FROM w JOIN d ON d.source = w.source AND d.k = w.k + 1)
 SELECT source AS "group", arg_max(mean, k) AS mean, max(k) AS n FROM w GROUP BY source""")
-def running_mean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mean rounded after each value, in order of doc_id."""
     ship(spark)
     return M.running_means(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
@@ -305,33 +303,39 @@ def url_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT page_id + 1 AS page, CASE WHEN page_id % 9 = 1 THEN 420.0 ELSE 360.0 END AS width, 576.0 AS height, CASE page_id % 13 WHEN 2 THEN 'x' || chr(65533) WHEN 3 THEN ' ' ELSE 't' || page_id END AS text, page_id % 17 = 4 AS m FROM pages)
 SELECT 'page_size' AS kind, page::BIGINT AS page, '420.0x576.0' AS detail FROM p WHERE width > 361 UNION ALL SELECT 'replacement_character', page, '' FROM p WHERE contains(text, chr(65533)) UNION ALL SELECT 'missing_glyph', page, '1' FROM p WHERE m UNION ALL SELECT 'empty_page', page, '' FROM p WHERE text = ' '
-UNION ALL SELECT 'overflow', page, 'wide' FROM p WHERE page % 5 = 0 UNION ALL SELECT 'invalid_link', page, '99999999' FROM p WHERE page % 6 = 0 UNION ALL SELECT 'bookmark_title', page, 'other' FROM p WHERE page % 8 = 0 UNION ALL SELECT 'toc_page_number', page, 'x' FROM p WHERE page % 14 = 0""")
+UNION ALL SELECT 'overflow', page, 'wide' FROM p WHERE page % 5 = 0 UNION ALL SELECT 'invalid_link', page, '99999999' FROM p WHERE page % 6 = 0 UNION ALL SELECT 'bookmark_title', page, 'other' FROM p WHERE page % 8 = 0 UNION ALL SELECT 'toc_page_number', page, 'x' FROM p WHERE page % 14 = 0 AND page % 6 <> 0""")
 def verify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V6: pages, boxes, links, bookmarks and printed numbers."""
+    """V6: pages, boxes, links, bookmarks and printed numbers; a link without a target has no number to compare."""
     k = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select((k + 1).alias("page"), F.when(k % 9 == 1, 420.0).otherwise(360.0).alias("width"), F.lit(576.0).alias("height"), (k + 1).cast("string").alias("label"), F.when(k % 13 == 2, "x�").when(k % 13 == 3, " ").otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("text"), (k % 17 == 4).cast("int").alias("missing_glyphs"), F.lit(0).alias("images"))
     box = lambda text, x1: pages.select("page", F.lit("text").alias("kind"), F.lit(text).alias("text"), F.lit(60.0).alias("x0"), F.lit(x1).alias("x1"), F.lit(100.0).alias("y0"), F.lit(112.0).alias("y1"))
     spans = box("fine", 200.0).unionByName(box("wide", 500.0).where("page % 5 = 0"))
     links = pages.select("page", F.when(F.col("page") % 6 == 0, F.lit(99999999)).otherwise(F.col("page")).cast("long").alias("target"), F.when(F.col("page") % 14 == 0, "x").otherwise(F.col("label")).alias("printed"))
     entries = pages.select("page", F.when(F.col("page") % 8 == 0, "other").otherwise(F.regexp_replace("text", "^t", "t")).alias("title"), F.lit(False).alias("has_children"))
-    parts = [verify.page_issues(pages, 360.0, 576.0), verify.overflow(spans, pages, 36.0, 36.0, 36.0, 36.0), verify.link_issues(links, pages), verify.bookmark_issues(entries, pages), verify.toc_number_issues(links.where("target < 99999999"), pages)]
+    parts = [verify.page_issues(pages, 360.0, 576.0), verify.overflow(spans, pages, 36.0, 36.0, 36.0, 36.0), verify.link_issues(links, pages), verify.bookmark_issues(entries, pages), verify.toc_number_issues(links, pages)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    extra = links.where("target = 99999999 and page % 14 = 0").select(F.lit("toc_page_number").alias("kind"), "page", F.lit("x").alias("detail"))
-    return out.unionByName(extra)
+    return out
 
 
-@query("""SELECT 1::BIGINT AS n, 'article_bookmark' AS kind, 't2' AS detail UNION ALL SELECT 1, 'article_bookmark', 't9' UNION ALL SELECT 1, 'missing_group', 'g2' UNION ALL SELECT 1, 'missing_font', 'Other Sans'""")
+@query(
+    f"""WITH p AS (SELECT page_id, {TITLE} AS title, {sql_host('url')} AS host FROM pages),
+e AS (SELECT title, count(*) AS n FROM (SELECT title FROM p WHERE page_id % 7 <> 3 UNION ALL SELECT title FROM p WHERE page_id % 11 = 5) GROUP BY title),
+g AS (SELECT DISTINCT host FROM p), f AS (SELECT DISTINCT host FROM p WHERE page_id % 3 <> 1)
+SELECT 'article_bookmark' AS kind, t.title AS detail FROM (SELECT DISTINCT title FROM p) t LEFT JOIN e ON t.title = e.title WHERE coalesce(n, 0) <> 1
+UNION ALL SELECT 'missing_group', host FROM g WHERE host NOT IN (SELECT host FROM f) UNION ALL SELECT 'missing_font', 'Other Sans'"""
+)
 def verify_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected titles, groups and fonts."""
-    entries = spark.createDataFrame([("t1", 2), ("t2", 2), ("t2", 2), ("g1", 1)], "title string, level int")
-    titles = spark.createDataFrame([("t1",), ("t2",), ("t9",)], "title string")
-    groups = spark.createDataFrame([("g1",), ("g2",)], "title string")
+    """All pages' titles and hosts against an outline that lacks some and has some twice; two required fonts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), U.host(F.col("url")).alias("host"))
+    articles = pages.where("page_id % 7 <> 3").select("title").unionByName(pages.where("page_id % 11 = 5").select("title")).withColumn("level", F.lit(2))
+    groups = pages.where("page_id % 3 <> 1").select(F.col("host").alias("title")).distinct()
     fonts = spark.createDataFrame([("Noto Serif",), ("Other Sans",)], "font string")
-    used = spark.createDataFrame([("ABCDEF+NotoSerif",)], "used string")
-    rows = verify.article_issues(titles, entries).unionByName(verify.missing(groups, entries.where("level = 1"), "title", "missing_group")).unionByName(verify.font_issues(fonts, used))
-    return rows.groupBy("kind", "detail").agg(F.count("*").alias("n")).select("n", "kind", "detail")
+    used = pages.select(F.when(F.col("page_id") % 2 == 0, "ABCDEF+NotoSerif").otherwise("NotoSerif-Bold").alias("used")).distinct()
+    rows = verify.article_issues(pages.select("title").distinct(), articles)
+    rows = rows.unionByName(verify.missing(pages.select(F.col("host").alias("title")).distinct(), groups, "title", "missing_group"))
+    return rows.unionByName(verify.font_issues(fonts, used)).select("kind", "detail")
 
 
 @query("""WITH i AS (SELECT page_id AS page FROM pages WHERE page_id % 20 = 0) SELECT count(*) AS issues, count(*) = 0 AS passed, array_to_string(list_sort(list(page))[:12], ',') AS preview FROM i""")
@@ -357,7 +361,7 @@ def layout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'credentials' WHEN 1 THEN 'domain' WHEN 2 THEN 'address' WHEN 3 THEN 'size' WHEN 4 THEN 'type' END AS refused FROM pages""")
 def resource_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V10, SRC9; ``resource_totals`` has A9."""
+    """V10, SRC9."""
     k = F.col("page_id") % 6
     rows = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, "https://a:b@x.org/").when(k == 1, "https://y.org/").otherwise("https://x.org/p").alias("url"), F.when(k == 2, "10.0.0.1").otherwise("93.184.216.34").alias("address"), F.when(k == 3, 10**8).otherwise(10).alias("bytes"), F.when(k == 4, "image/png").otherwise("text/html").alias("content_type"))
     return verify.response_guards(rows, ["x.org"], 5 << 20).select("page_id", "refused")

@@ -85,7 +85,7 @@ def markdown_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT doc_id, ['page.width', 'fonts.body', 'toc.depth', 'page.margin.left'][1 + doc_id % 4] AS path FROM documents) SELECT doc_id, path FROM c WHERE path LIKE 'page.%' OR path LIKE 'fonts.%'""")
 def layout_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings that a layout controls and another layer sets too."""
+    """V8: settings that a layout controls and another layer sets too."""
     path = F.element_at(F.array(*map(F.lit, ["page.width", "fonts.body", "toc.depth", "page.margin.left"])), (F.col("doc_id") % 4 + 1).cast("int"))
     controlled = spark.createDataFrame([("page",), ("fonts",)], "top string")
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).join(controlled, F.substring_index("path", ".", 1) == F.col("top"), "left_semi")

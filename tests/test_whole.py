@@ -159,7 +159,7 @@ def test_running_means_across_blocks(spark, tmp_path):
     for _, s, x in rows:
         mean, n = want.get(s, (0.0, 0))
         want[s] = (float(int((mean * n + x) / (n + 1) + 0.5)), n + 1)
-    got = plans.QUERIES["running_mean_values"](spark, str(tmp_path)).collect()
+    got = plans.QUERIES["running_mean"](spark, str(tmp_path)).collect()
     assert {r["group"]: (r["mean"], r["n"]) for r in got} == want and len(got) == 3
 
 
