@@ -208,6 +208,35 @@ def test_packing(docs, none):
     assert sum(len(p[1]) for v in whole.values() for p in v) == sum(n for _, n, _ in want)
 
 
+def test_packing_of_conversations(spark):
+    """Three different demands: all limits hold in every sequence, each binds in some, and no id is lost."""
+    ship(spark)
+    rng, file = random.Random(8), tokenizer_file("byte_bpe_50k.json")
+    say = lambda n: " ".join(rng.choices(["the", "of", "done.", "quiet", "12"], k=n))
+    rows = [(k, [(say(rng.choice([1, 3, 200])), False), (say(rng.choice([1, 40, 900])), True)] * rng.choice([0, 1, 3])) for k in range(120)]
+    rows += [(200, None), (201, [(None, True), ("", None), ("x", None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, turns array<struct<text:string,loss:boolean>>").repartition(2)
+    limits = packing.Limits(256, 6, 160)
+    out = packing.pack_documents(docs, file, limits, with_ids=True, pool=50, parts="turns").collect()
+    encoder = library("byte_bpe_50k.json")
+    want = {}
+    for k, turns in rows:
+        ids, bears = [], []
+        for t, loss in turns or []:
+            own = encoder.encode(t or "", add_special_tokens=False).ids
+            ids, bears = ids + own, bears + [bool(loss)] * len(own)
+        want[k] = (ids + [0], bears + bears[-1:] or [False])
+    bins = {}
+    for r in out:
+        ids, bears = want[r["doc_id"]]
+        assert r["ids"] == ids[r["start"] : r["start"] + r["length"]] and r["loss_tokens"] == sum(bears[r["start"] : r["start"] + r["length"]])
+        bins.setdefault(r["sequence_id"], []).append((r["length"], r["loss_tokens"]))
+    assert sum(r["length"] for r in out) == sum(len(v[0]) for v in want.values())
+    full = [(sum(n for n, _ in b), len(b), sum(w for _, w in b)) for b in bins.values()]
+    assert all(n <= 256 and k <= 6 and w <= 160 for n, k, w in full)
+    assert any(n == 256 for n, _, _ in full) and any(w == 160 for _, _, w in full) and any(k == 6 for _, k, _ in full)
+
+
 def test_vector_packing_keeps_all_limits():
     rng = random.Random(2)
     tokens = [rng.randint(1, 900) for _ in range(400)]
