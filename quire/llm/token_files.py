@@ -141,6 +141,7 @@ def read_token_files(files: DataFrame, key: str, kind: str) -> DataFrame:
     """Per document, from the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    tasks = max(1, files.count())  # one file a task: without a number the few rows would be merged into one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +158,7 @@ def read_token_files(files: DataFrame, key: str, kind: str) -> DataFrame:
                         sums.append(crc)
                     yield pa.RecordBatch.from_arrays([docs.column("key"), pa.array([row["base"] + s for s in starts], pa.int64()), docs.column("n_tokens").cast(pa.int64()), pa.array(sums, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return files.select("base", "ids_path", "docs_path").repartition("ids_path").mapInArrow(run, f"{key} {kind}, start long, n_tokens long, ids_crc32 long")
+    return files.select("base", "ids_path", "docs_path").repartitionByRange(tasks, "base").mapInArrow(run, f"{key} {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer_file: str, end: int = 2, length: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
