@@ -97,60 +97,61 @@ def open_windows(pieces: DataFrame, width: int) -> DataFrame:
 
 def cut_segments(pieces: DataFrame, width: int) -> DataFrame:
     """Stretches of windows of a piece that go to the same bucket; ``pieces`` has ``places``: (at, bucket)."""
-    spec = "group long, bucket long, salts long, key long, piece binary"
+    spec = "group long, bucket long, key long, piece binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for group, salts, key, piece, places in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+            for group, key, piece, places in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 words = piece.split(b" ")
                 at = sorted({(x["bucket"], x["at"]) for x in places})
                 begin = 0
                 for k in range(1, len(at) + 1):
                     if k == len(at) or at[k] != (at[k - 1][0], at[k - 1][1] + 1):
-                        rows.append((group, at[begin][0], salts, key, b" ".join(words[at[begin][1] : at[k - 1][1] + width])))
+                        rows.append((group, at[begin][0], key, b" ".join(words[at[begin][1] : at[k - 1][1] + width])))
                         begin = k
             yield _batch(spec, rows)
 
-    return pieces.select("group", "salts", "key", "piece", "places").mapInArrow(run, spec)
+    return pieces.select("group", "key", "piece", "places").mapInArrow(run, spec)
 
 
 def route(pieces: DataFrame, width: int) -> DataFrame:
     """Pieces once for each bucket that their windows belong to."""
-    spec = "group long, bucket long, salts long, content binary, key long, last long, piece binary"
+    spec = "group long, bucket long, content binary, key long, last long, piece binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for group, buckets, salts, content, key, last, piece in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+            for group, buckets, content, key, last, piece in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
                 to = {0}
                 if buckets > 1:
                     w = Words.of([piece])
                     at = np.arange(len(w) - width + 1)
                     to = {int.from_bytes(x[:4], "big") % buckets for x in w.names(at, at + width)}
-                rows += [(group, b, salts, content, key, last, piece) for b in sorted(to)]
+                rows += [(group, b, content, key, last, piece) for b in sorted(to)]
             yield _batch(spec, rows)
 
-    return pieces.select("group", "buckets", "salts", "content", "key", "last", "piece").mapInArrow(run, spec)
+    return pieces.select("group", "buckets", "content", "key", "last", "piece").mapInArrow(run, spec)
 
 
-def deal_hot(hot: DataFrame, scratch: Scratch, width: int, gram: int, most: int) -> DataFrame:
+def deal_hot(hot: DataFrame, scratch: Scratch, width: int, most: int) -> DataFrame:
     """Pieces of hot groups as shards of about ``most`` pieces and ``most`` windows (``DEALT``).
 
     Only windows that two documents share are indexed, each from its first holder, in buckets by window name. The group's
-    pieces are streamed against the buckets that their windows belong to, salted where they are many; a bucket's index
-    goes to each of its salts. Rows grow with the pieces, not with their square.
+    pieces are streamed against the buckets that their windows belong to, salted by the number of pieces there; a bucket's
+    index goes to each of its salts. Rows grow with the pieces, not with their square.
     """
     windows = open_windows(hot, width).groupBy("group", "window").agg(F.min(F.struct("key", "content", "at")).alias("first"), F.max("last").alias("z"))
     windows = scratch.put(windows.where("first.key < z").select("group", "window", "first.*"), "hot_windows")
-    share = F.least(F.lit(1.0), (width - gram + 1) / F.col("buckets"))
-    sizes = windows.groupBy("group").agg(F.ceil(F.count("*") / most).alias("buckets")).join(hot.groupBy("group").agg(F.count("*").alias("n")), "group")
-    sizes = scratch.put(sizes.select("group", "buckets", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * share / most)).alias("salts")), "hot_sizes")
+    sizes = scratch.put(windows.groupBy("group").agg(F.ceil(F.count("*") / most).alias("buckets")), "hot_sizes")
     bucket = F.conv(F.hex(F.substring("window", 1, 4)), 16, 10).cast("long") % F.col("buckets")
-    places = windows.join(sizes, "group").select("content", "salts", F.struct(F.col("at"), bucket.alias("bucket")).alias("place"))
-    places = scratch.put(places.groupBy("content", "salts").agg(F.collect_set("place").alias("places")), "hot_places")
-    indexed = cut_segments(hot.join(places, "content"), width).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    streamed = route(hot.join(sizes, "group"), width).withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts")))
+    places = windows.join(sizes, "group").select("content", F.struct(F.col("at"), bucket.alias("bucket")).alias("place"))
+    places = scratch.put(places.groupBy("content").agg(F.collect_set("place").alias("places")), "hot_places")
+    streamed = scratch.put(route(hot.join(sizes, "group"), width), "hot_streamed")
+    salts = scratch.put(streamed.groupBy("group", "bucket").agg(F.ceil(F.count("*") / most).alias("salts")), "hot_salts")
+    by = ["group", "bucket"]
+    indexed = cut_segments(hot.join(places, "content"), width).join(salts, by).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    streamed = streamed.join(salts, by).withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts")))
     blank = {"content": F.lit(None).cast("binary"), "last": F.lit(None).cast("long")}
     both = indexed.withColumns(blank | {"role": F.lit(INDEXED)}).unionByName(streamed.withColumn("role", F.lit(STREAMED)))
     return both.withColumn("shard", F.xxhash64("group", "bucket", "salt")).select(*_names(DEALT))
@@ -250,9 +251,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, width: int, gram: int, most
     dealt = pieces.where("not hot").select(F.col("group").alias("shard"), *_names(DEALT)[1:])
     hot = pieces.where("hot")
     if hot.limit(1).count():
-        dealt = dealt.unionByName(deal_hot(hot, scratch, width, gram, most))
+        dealt = dealt.unionByName(deal_hot(hot, scratch, width, most))
     found = scratch.put(search_shards(dealt, width, shard_words), "found")
-    scratch.drop("pieces", "hot_windows", "hot_sizes", "hot_places")
+    scratch.drop("pieces", "hot_windows", "hot_sizes", "hot_places", "hot_streamed", "hot_salts")
     earlier = F.transform(F.filter("spans", lambda s: s["least"] < F.col("key")), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to")))
     copies = runs.join(found, "content").where(F.exists("spans", lambda s: s["least"] < F.col("key")))
     lists = scratch.put(copies.groupBy("key").agg(F.collect_set(F.struct("content", earlier.alias("spans"))).alias("runs")), "lists")
