@@ -343,6 +343,56 @@ def test_every_pattern_has_its_tokens_in_every_match():
         url_filters.pattern("loose", "casino.*")
 
 
+def plain_links(rows: dict[int, list[float]], least: float = 0.95) -> dict[int, set[int]]:
+    out = {}
+    for k, v in rows.items():
+        out[k] = set()
+        for j, w in rows.items():
+            if j != k and len(v) == len(w):
+                a, b = np.array(v) / max(map(abs, v)), np.array(w) / max(map(abs, w))
+                if a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= least:
+                    out[k].add(j)
+    return out
+
+
+def test_embeddings_of_any_size_and_length(spark):
+    """Components beyond the square root of the largest number, several lengths, close groups, links far from the sample."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    rows = {0: [1e200] * 8, 1: [1e200] * 7 + [1.01e200], 2: [1e-200] * 8, 3: [1.0, 2.0], 4: [1.0, 2.1], 5: [3.0], 6: [5.0], 7: [-1.0]}
+    base = rng.normal(size=(400, 8))
+    for k, v in enumerate(np.concatenate([base, base[:60] + 0.01 * rng.normal(size=(60, 8)), 3.0 + 0.001 * rng.normal(size=(150, 8))])):
+        rows[10 + k] = v.tolist()
+    out = embedding_graph.near_duplicate_vectors(spark.createDataFrame([*rows.items(), (900, [])], "vec_id long, embedding array<double>"), shard_rows=40)
+    want, got = plain_links(rows), {r["vec_id"]: r for r in out.collect()}
+    assert len(got) == len(rows) + 1 and got[900]["n_links"] == 0
+    assert all(got[k]["n_links"] <= len(v) for k, v in want.items())
+    shares = [got[k]["n_links"] / len(v) for k, v in want.items() if v]
+    assert np.mean(shares) > 0.98 and [got[k]["n_links"] > 0 for k in range(8)] == [True] * 7 + [False]
+    assert got[1]["component_id"] == 0 == got[2]["component_id"] and got[4]["component_id"] == 3 and got[6]["component_id"] == 5
+
+
+def test_embeddings_below_the_lowest_recall_are_an_error(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(embedding_graph, "audit", lambda *_: 0.5)
+    rows = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_graph.near_duplicate_vectors(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 700])
+def test_graph_search_finds_what_is_in_range(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 12))
+    x[n // 2 :] = x[: n - n // 2] + 0.05 * rng.normal(size=(n - n // 2, 12))
+    x = embedding_graph.unit(x)
+    graph = embedding_graph.build_graph(x)
+    _, who, found = embedding_graph.greedy(x, graph, x, np.zeros((n, 1), int), min(32, n), 0.95)
+    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.95), strict=True)}
+    got = list(zip(who.tolist(), found.tolist(), strict=True))
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want)
+
+
 def test_languages(docs, none, spark):
     assert langid.identify_languages(none).count() == 0
     out = langid.identify_languages(docs, carry=True)
