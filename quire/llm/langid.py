@@ -46,58 +46,64 @@ def letter_vectors(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIMENSIONS))
 
 
-def bundle(counts: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Sum of the vectors of all trigrams, as often as counted, for each row of ``counts``.
-
-    A trigram's vector binds (multiplies) its first letter's vector permuted twice, its second's permuted once, and its
-    third's. Multiplication distributes over the sums, so they are taken letter by letter.
-    """
-    out = np.zeros((len(counts), DIMENSIONS))
-    for row, table in zip(out, counts.reshape(-1, SYMBOLS, SYMBOLS, SYMBOLS), strict=True):
-        for first, seconds in zip(letters, table, strict=True):
-            row += np.roll(first, 2) * (np.roll(letters, 1, axis=1) * (seconds @ letters)).sum(axis=0)
+def trigram_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A trigram's vector binds (multiplies) its first letter's vector permuted twice, its second's permuted once, and its
+    third's."""
+    a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+    return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+
+
+def bundle(texts: list[np.ndarray], letters: np.ndarray, step: int = 2048) -> np.ndarray:
+    """For each array of trigram codes the sum of their vectors, as often as they stand there."""
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    codes, number = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]).astype(np.int64), return_inverse=True)
+    pairs, many = np.unique(number.astype(np.int64) * max(1, len(texts)) + rows, return_counts=True)  # by code, then text
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    cuts = np.searchsorted(pairs, np.arange(0, len(codes) + step, step) * max(1, len(texts)))
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        counts = np.zeros((len(texts), min(step, len(codes) - k * step)), np.float32)
+        counts[pairs[x:y] % len(texts), pairs[x:y] // len(texts) - k * step] = many[x:y]
+        out += counts @ trigram_vectors(codes[k * step : (k + 1) * step], letters)
     return out
 
 
-def similarity_table(prototypes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Dot product of each trigram's vector with each unit prototype. A document's vector is a sum of trigram vectors,
-    so its dot product with a prototype is the sum of theirs: no document vector need be made."""
-    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
-    two = (np.roll(letters, 2, axis=1)[:, None, :] * np.roll(letters, 1, axis=1)[None, :, :]).reshape(-1, DIMENSIONS)
-    return np.stack([((two * p.astype(np.float32)) @ letters.T).reshape(-1) for p in unit], axis=1).astype(np.float32)
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 512) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", held: int = 32) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes: the bundle of all trigrams of all their texts.
 
-    Trigrams are counted in the tasks and summed by (language, trigram), at most SYMBOLS**3 rows a language; the driver
-    gets those sums. More than ``most_languages`` languages raise an error.
+    Tasks count the trigrams of up to ``held`` languages at once and emit their bundles, DIMENSIONS numbers a language;
+    these are summed by (language, place), so the driver gets DIMENSIONS rows a language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
+        letters = letter_vectors()
+
+        def bundled() -> Iterator[pa.RecordBatch]:
+            for name, n in counts.items():
+                codes, total = np.flatnonzero(n), np.zeros(DIMENSIONS)
+                for at in range(0, len(codes), 2048):
+                    part = codes[at : at + 2048]
+                    total += n[part].astype(np.float64) @ trigram_vectors(part, letters).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS, pa.string()), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total)], names=["lang", "place", "x"])
+            counts.clear()
+
         for batch in slices(batches):
             codes: dict[str, list[np.ndarray]] = {}
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes.setdefault(name, []).append(trigrams(t)[0])
             for name, found in codes.items():
+                if name not in counts and len(counts) >= held:
+                    yield from bundled()
                 n = np.bincount(np.concatenate(found), minlength=SYMBOLS**3)
                 counts[name] = counts[name] + n if name in counts else n
-            if len(counts) > most_languages:
-                raise ValueError(f"over {most_languages} languages")
-        for name, n in counts.items():
-            codes = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(n[codes])], names=["lang", "code", "n"])
+        yield from bundled()
 
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
-    sums = known.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    sums = known.mapInArrow(run, "lang string, place int, x double").groupBy("lang", "place").agg(F.sum("x").alias("x")).toArrow()
     names = sorted(set(sums["lang"].to_pylist()))
-    if len(names) > most_languages:
-        raise ValueError(f"over {most_languages} languages")
-    counts = np.zeros((len(names), SYMBOLS**3))
-    row = {name: k for k, name in enumerate(names)}
-    counts[[row[x] for x in sums["lang"].to_pylist()], sums["code"].to_numpy()] = sums["n"].to_numpy()
-    return names, bundle(counts, letter_vectors())
+    prototypes, row = np.zeros((len(names), DIMENSIONS)), {name: k for k, name in enumerate(names)}
+    prototypes[[row[x] for x in sums["lang"].to_pylist()], sums["place"].to_numpy()] = sums["x"].to_numpy()
+    return names, prototypes
 
 
 def held_out(key: str) -> Column:
@@ -110,33 +116,31 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
 
     Letters have random vectors of -1 and 1; a trigram's vector is the product of its letters' vectors, permuted by their
     place; a document's vector is the sum over its trigrams, a language's the sum over its texts. ``lang_pred``: the
-    language of the highest cosine, the first in order at ties; ``und`` if the text is null or has no letter, or nothing
-    was learned. ``score``: that cosine, cut to 0..1, 0 for ``und``; the length of a document's vector is taken as that
-    of orthogonal trigram vectors, which it is but for random noise and which doesn't change the order of languages.
+    language of the highest cosine of those two, the first in order at ties; ``und`` if the text is null or has no letter,
+    or nothing was learned. ``score``: that cosine, cut to 0..1, 0 for ``und``.
 
     Whole texts of any length; null keys count as not held out; repeated rows and an empty table are no special cases.
     """
-    scores = similarity_table(prototypes, letter_vectors()) if names else np.zeros((SYMBOLS**3, 1), np.float32)
+    unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     names_out = ["held_out", "lang_pred", "score"]
     given = [c for c in docs.columns if c not in names_out] if carry else [key]
     schema = docs.select(*given).schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_vectors()
         for batch in slices(batches):
-            found, score = [], []
-            for t in batch.column(len(given) + 1).to_pylist():
-                codes, letters = trigrams(t) if t else ((), 0)
-                if not letters or not names:
-                    found.append("und")
-                    score.append(0.0)
-                    continue
-                dots = np.zeros(scores.shape[1])
-                for at in range(0, len(codes), 1 << 16):
-                    dots += scores[codes[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-                n = np.bincount(codes)
-                best = int(dots.argmax())
-                found.append(names[best])
-                score.append(min(1.0, max(0.0, float(dots[best] / np.sqrt(DIMENSIONS * float(np.dot(n, n)))))))
+            codes, known = [], []
+            for k, t in enumerate(batch.column(len(given) + 1).to_pylist()):
+                own, many = trigrams(t) if t else (None, 0)
+                if many and names:
+                    codes.append(own)
+                    known.append(k)
+            found, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            vectors = bundle(codes, letters)
+            cosines = (vectors @ unit.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            for k, row in zip(known, cosines, strict=True):
+                best = int(row.argmax())
+                found[k], score[k] = names[best], min(1.0, max(0.0, float(row[best])))
             kept = [batch.column(k) for k in range(len(given) + 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=given + names_out)
 

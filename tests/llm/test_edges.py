@@ -407,14 +407,36 @@ def test_languages(docs, none, spark):
     assert found.where("lang = lang_pred").count() / found.count() > 0.97
 
 
-def test_letter_sums_are_document_vectors():
-    letters = langid.letter_vectors()
-    prototypes = np.random.default_rng(1).normal(size=(2, langid.DIMENSIONS))
-    codes, _ = langid.trigrams("Hyper über dims")
-    counts = np.bincount(codes, minlength=langid.SYMBOLS**3)[None, :].astype(float)
-    vector = langid.bundle(counts, letters)[0]
-    unit = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)
-    assert np.allclose(langid.similarity_table(prototypes, letters)[codes].sum(axis=0), unit @ vector, rtol=1e-3, atol=0.1)
+def plain_vector(text: str, letters: np.ndarray) -> np.ndarray:
+    out = np.zeros(langid.DIMENSIONS)
+    for code in langid.trigrams(text)[0].tolist():
+        a, b, c = code // 4096, code // 64 % 64, code % 64
+        out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return out
+
+
+def test_languages_are_those_of_explicit_vectors(spark):
+    """Many more languages than a task holds at once, ties, and texts of one trigram."""
+    ship(spark)
+    rng, letters = random.Random(3), langid.letter_vectors()
+    say = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß "[k % 20 :], k=rng.choice([1, 30, 400])))
+    rows = [(k, say(k % 50), f"l{k % 50:02d}") for k in range(300)] + [(300, "x", None), (301, "日本語", "l00"), (302, None, "l01")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    sums: dict[str, np.ndarray] = {}
+    for k, t, name in rows:
+        if not held(k) and t is not None and name:
+            sums[name] = sums.get(name, 0) + plain_vector(t, letters)
+    names = sorted(sums)
+    unit = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    got = {r["doc_id"]: r for r in langid.identify_languages(docs).collect()}
+    for k, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        v = plain_vector(t, letters)
+        cosine = unit @ v / np.linalg.norm(v)
+        assert abs(got[k]["score"] - max(0, cosine.max())) < 1e-4 and cosine[names.index(got[k]["lang_pred"])] > cosine.max() - 1e-4
 
 
 def test_token_counts(docs, none):
