@@ -72,6 +72,25 @@ def test_run_and_messy_rows(spark):
         assert stage(spark, odd.where("false"), SF).count() == 0
 
 
+def test_stages_keep_clashing_columns_and_long_texts(spark):
+    """Extra columns with the operators' own names, repeated and clashing rows, nulls, and a very long text."""
+    long_text = " ".join(f"word{k % 977} of the passage" for k in range(40_000))
+    extra = "n_words long, kept string, component_id long, lang_pred string, score double, copy_no string, mix_key string, key long, runs string, tags map<string,string>"
+    rows = [(1, "der erste text", "de", "src0"), (1, "another text", "en", "src0"), (1, "another text", "en", "src0"), (2, long_text, "en", None), (3, None, "en", "s"), (4, "", None, "s"), (None, "no key here", "en", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, k, -k, "K", 7, "und", 0.5, "c", "m", 9, "r", {"a": str(k)}) for k, r in enumerate(rows)], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        assert docs.schema == before.schema, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert {r["kept"] for r in docs.collect()} == {"K"}
+        if name == "language_id":
+            assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "1", "1", "2", "None"]
+        if name == "near_duplicates":
+            assert sorted((str(r["doc_id"]), r["text"][:7]) for r in docs.collect()) == [("1", "another"), ("2", "word0 o"), ("None", "no key ")]
+            assert [r["tags"] for r in docs.where("doc_id = 1").collect()] == [{"a": "1"}]
+    assert corpus_pipeline.pack(spark, docs, SF).count() > 0
+
+
 def test_every_query_is_registered(spark):
     import __spark_entry__
 
