@@ -19,26 +19,36 @@ URL_PREFIXES = [
     url_filters.Prefix("allow", "com", "/fr/"),
     url_filters.Prefix("block", "com", "/de/"),
 ]
+#: Words that stand whole in hosts or paths of unwanted pages, by kind, and those that name query parameters of paid clicks.
+URL_WORDS = {
+    "ad": "adform admob adnxs adroll ads adserver adservice adsystem adtech banner banners criteo doubleclick outbrain popads popunder sponsor taboola",
+    "adult": "adult camgirls escort escorts hentai porn sexcams xxx",
+    "gambling": "baccarat bets betting bingo casino jackpot lottery poker roulette slots sportsbook",
+    "loans": "loans payday quickcash titleloan",
+    "pills": "cialis pharmacy pills viagra xanax",
+    "replica": "fakewatches knockoff replica replicas",
+    "spam": "doorway linkfarm paidlinks spam splog",
+    "tracker": "analytics beacon clickstat hitcounter pixel statcounter telemetry tracker tracking",
+    "warez": "crack cracked keygen nulled torrent torrents warez",
+}
+CLICK_WORDS = "dclid fbclid gclid igshid mc_eid msclkid ttclid twclid wbraid yclid"
 URL_PATTERNS = [
     url_filters.pattern(name, regex)
-    for name, regex in {
-        "ad_banners": r"/banners?-[0-9]+x[0-9]+/ads/",
-        "ad_server": r"[/.]adserver\.",
-        "ad_tracker": r"[/.]ads-track[a-z]*\.",
-        "adult": r"[/.]adult-[a-z]+\.",
-        "bets": r"[/.]free-bets\.",
-        "casino": r"[/.]casino-[a-z]+\.",
-        "click_id": r"[?&]gclid=",
-        "cgi": r"/cgi-bin/",
-        "loans": r"[/.]payday-loans\.",
-        "login": r"/wp-login\.php",
-        "paid_click": r"[?&]utm_medium=cpc[&#]",
-        "pills": r"[/.]cheap-pills\.",
-        "pixel": r"/pixel\.gif",
-        "replica": r"[/.]replica-[a-z]+\.",
-        "spam_farm": r"[/.]spam-farm\.",
-        "xxx_top": r"\.xxx/",
-    }.items()
+    for name, regex in sorted(
+        {f"{kind}_{word}_{place}": form.format(word) for kind, words in URL_WORDS.items() for word in words.split() for place, form in (("host", "[/.]{}[.-]"), ("path", "/{}/"))}.items()
+        | {f"click_{word}": f"[?&]{word}=" for word in CLICK_WORDS.split()}.items()
+        | {
+            "ad_size": r"/[a-z]+-[0-9]+x[0-9]+/ads/",
+            "ad_tracks": r"[/.]ads-track[a-z]*\.",
+            "cgi": "/cgi-bin/",
+            "free_bets": r"[/.]free-bets\.",
+            "ip_host": r"://[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+[/:]",
+            "login": r"/(wp-login|administrator|user/login)\.php",
+            "paid_click": "[?&]utm_medium=(cpc|ppc|paid)[&#]",
+            "pixel_image": r"/(pixel|spacer|blank)\.(gif|png)",
+            "xxx_top": r"\.xxx/",
+        }.items()
+    )
 ]
 
 
