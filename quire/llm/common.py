@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +32,16 @@ def binaries(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded size, but for single rows above the bound."""
+    """The same rows in batches of bounded size, but for single rows above the bound. At the end of a task its worker, which
+    waits for the next one, gives the memory that it no longer uses back."""
     for batch in batches:
         rows = max(1, min(batch.num_rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

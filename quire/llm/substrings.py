@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binaries, slices
+from quire.llm.common import binaries, release, slices
 from quire.llm.fm_index import FMIndex
 from quire.llm.windows import Words, minimizer_runs, normal
 from quire.storage import Scratch
@@ -225,6 +225,7 @@ def search_shards(dealt: DataFrame, width: int, shard_words: int) -> DataFrame:
             n += batch.nbytes
         if held:
             yield search_shard(held, width)
+        release()
 
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
 
