@@ -13,12 +13,14 @@ from quire.html.tree import Node
 
 @dataclass
 class Adapter:
-    """``hosts``: where it applies; ``content``: change of the content tree; ``text``: changes of its Markdown, in order."""
+    """``hosts``: where it applies; ``content``: change of the content tree; ``text``: changes of its Markdown, in order;
+    ``pages``: (pattern, change): further ones for pages whose URL a regular expression finds."""
 
     name: str
     hosts: tuple[str, ...]
     content: Callable[[Node], None] | None = None
     text: list[Callable[[str], str]] = field(default_factory=list)
+    pages: list[tuple[str, Callable[[str], str]]] = field(default_factory=list)
 
     def matches(self, url: str) -> bool:
         host = re.sub(r"^[a-z+.-]+://([^/?#:]*).*$", r"\1", url.lower(), flags=re.S)
@@ -40,34 +42,92 @@ class Registry:
 
     def clean(self, text: str, url: str, name: str | None = None) -> str:
         adapter = self.pick(url, name)
-        for step in adapter.text if adapter else []:
-            text = step(text)
+        if adapter:
+            for step in [*adapter.text, *(change for pattern, change in adapter.pages if re.search(pattern, url))]:
+                text = step(text)
         return text
 
 
 def drop_copy_residue(text: str) -> str:
     """Lines that a copy button left."""
-    return re.sub(r"(?m)^[ \t]*(?:Copy|Copied!?|Copy page|Copy code)[ \t]*$\n?", "", text)
+    return re.sub(r"(?mi)^[ \t]*(?:Copy|Copied!?|Copy page|Copy code)[ \t]*$\n?", "", text)
+
+
+_IMAGES = r"((?:!\[[^\]]*\]\([^)]*\)\s*)+)"
+_CARD_END = r"(?:\n+|)\]\(([^)\n]+)\)(?=\s*(?:\n|$|\[))"
 
 
 def unwrap_cards(text: str) -> str:
-    """[\\n### Title\\n\\ntext\\n](url) to a linked heading and the text."""
-    return re.sub(r"\[\s*\n+(#{1,6}) ([^\n]+)\n+([^\]]*?)\s*\]\(([^)\s]+)\)", lambda m: f"{m[1]} [{m[2].strip()}]({m[4]})\n\n{m[3].strip()}", text)
+    """Cards that are links as a whole: images, then a linked heading and the card's text. A card that ends in a label of its
+    own keeps its heading and links the label. Empty links go, links that touch stand on lines of their own."""
+
+    def titled(m: re.Match) -> str:
+        images, title, body, url = (x.strip() for x in m.groups())
+        mark = re.match(r"(#{1,6})\s+(.+)$", title)
+        level, name = mark.groups() if mark else ("###", title)
+        head = [images, ""] if images else []
+        return "\n".join([*head, f"{level} [{name}]({url})", "", body, "", ""]) if body else m[0]
+
+    def labelled(m: re.Match) -> str:
+        heading, body, label, url = (x.strip() for x in m.groups())
+        return f"{heading}\n\n{body}\n\n[{label}]({url})\n\n"
+
+    text = re.sub(r"(?m)^\s*\[\]\([^)]+\)\s*$", "", text)
+    text = re.sub(rf"\[\s*{_IMAGES}\n*(#{{1,6}}\s+[^\n]+|[^\n#!\[][^)\n]*)\n+([\s\S]*?){_CARD_END}", titled, text)
+    text = re.sub(r"\[\s*\n+()(#{1,6}\s+[^\n]+)\n+([^\[\]]*?)\n+\]\(([^)\n]+)\)(?=\s*(?:\n|$|\[))", titled, text)
+    text = re.sub(r"\[\s*\n+(#{1,6}\s+[^\n]+)\n+([^\[\]]*?)\n+([^\[\]\n]+)\]\(([^)\n]+)\)(?=\s*(?:\n|$|\[))", labelled, text)
+    text = re.sub(r"(\[[^\]\n]+\]\([^)]+\))(?=\[[^\]\n]+\]\([^)]+\))", r"\1\n", text)
+    return re.sub(r"(?m)^\[([^\n\]]+\[[^\]]+\]\([^)]+\)[^\n]*)$", r"\1", text)
+
+
+def copied_prompts(text: str) -> str:
+    """Cards of an image, a prompt and a copy mark as a list of the prompts."""
+    one = r"!\[[^\]]*\]\([^)]*\)\s*([^!\n]+?)\s*Copied\s*"
+    return re.sub(rf"(?:{one})+", lambda m: "\n".join(f"- {x.strip()}" for x in re.findall(one, m[0])), text)
+
+
+def glued_tabs(labels: dict[str, list[str]]) -> Callable[[str], str]:
+    """Lines that tab labels and their subtitles make without spaces, as lists."""
+    return lambda text: "\n".join("\n".join(f"- {x}" for x in labels[line]) if line in labels else line for line in text.split("\n"))
+
+
+def setup_cards(text: str) -> str:
+    """Numbers of steps once, and no lines that only name a command."""
+    return re.sub(r"(?m)^\s*[A-Za-z][A-Za-z\s]+ command\s*$", "", re.sub(r"(?m)^(\d+)\.\s+\1\s*$", r"\1.", text))
+
+
+def index_page(text: str) -> str:
+    """An index without its search links, its notice of no results, and lines of images alone."""
+    search = r"\[[^\]]+\]\([^)]*\?search=[^)]+\)"
+    text = re.sub(rf"(?m)^{search}(?:\s+{search})*\s*$", "", text)
+    text = re.sub(r"(?m)^(?:#{1,6}\s+)?No [\w ]+ match these filters\s*\n+Try clearing a few filters[^\n]*$", "", text)
+    return re.sub(r"(?m)^\s*(?:!\[[^\]]*\]\([^)]+\)\s*)+\s*$", "", text)
 
 
 def strip_pager(text: str) -> str:
-    """Links to the previous and next page at the end."""
-    return re.sub(r"(?:\n+\[\s*(?:Previous|Next)\b[^\]]*\]\([^)]*\))+\s*$", "\n", text)
+    """Links to the previous and next page at the end; their labels may run over lines."""
+    link = r"\[\s*(?:Previous|Next)\b(?:(?!\]\()[\s\S])*\]\([^)]+\)"
+    return re.sub(rf"(?i)(?:^|\n)\s*{link}(?:\s*{link})?\s*$", "\n", text)
 
 
 def one_theme(text: str, theme: str = "light") -> str:
-    """Of two images that differ only in -light and -dark the one of the theme."""
+    """Of two neighbouring images of one subject in a light and a dark theme the one of ``theme``, its mode left out of the
+    text. They are such a pair if their paths without -light, -dark and ending are equal, and their texts too or one is empty."""
+    mode = r"(?i)\s*\((?:light|dark) mode\)\s*"
+
+    def subject(target: str) -> str:
+        path = re.sub(r"^[a-z]+://[^/]*|[?#].*$", "", target.split(' "')[0].strip())
+        return re.sub(r"(?i)\.[a-z0-9]+$", "", re.sub(r"(?i)-(?:light|dark)(?=\.[a-z0-9]+$)", "", path)).lower()
+
     def one(m: re.Match) -> str:
-        a, b = m[1], m[2]
-        key = lambda x: re.sub(r"light|dark", "*", x)
-        return (a if theme in a else b) if a != b and key(a) == key(b) else m[0]
+        pair = [(m[1], m[2]), (m[3], m[4])]
+        names = {" ".join(re.sub(mode, "", a).split()).lower() for a, _ in pair}
+        if len({subject(t) for _, t in pair} | {""}) != 2 or len(names - {""}) > 1:
+            return m[0]
+        alt, target = next((p for p in pair if re.search(rf"(?i)(?:^|[-_/]){theme}(?:[-_.]|$)", p[1])), pair[0])
+        return f"![{re.sub(mode, '', alt).strip()}]({target})"
 
-    return re.sub(r"(!\[[^\]]*\]\([^)]*\))\s*\n+\s*(!\[[^\]]*\]\([^)]*\))", one, text)
+    return re.sub(r"!\[([^\]]*)\]\(([^)]+)\)\s*!\[([^\]]*)\]\(([^)]+)\)", one, text)
 
 
 def numbered_prompts(text: str) -> str:
@@ -87,23 +147,22 @@ def tabs_to_headings(root: Node) -> None:
         tabs.remove()
 
 
-def model_cards(cards: list[dict]) -> str:
-    """Cards of models (name, description, command, features of title and value) as a list and a table."""
-    names = list(dict.fromkeys(f["title"] for c in cards for f in c.get("features", [])))
-    scale = {t: max((f.get("icons") or 0 for c in cards for f in c.get("features", []) if f["title"] == t), default=0) for t in names}
+def model_cards(cards: list[dict], notes: list[str] = ()) -> str:
+    """Cards of models (name, description, command, features of title and value) as sections, and notes after them. Icons
+    count against the most that any card has under the title."""
+    features = [f for c in cards for f in c.get("features") or []]
+    scale = {t: max(f.get("icons") or 0 for f in features if f["title"] == t) for t in {f["title"] for f in features}}
 
-    def value(c: dict, t: str) -> str:
-        f = next((f for f in c.get("features", []) if f["title"] == t), None)
-        if not f:
-            return " "
+    def feature(f: dict) -> str:
         v = f.get("value")
-        return ("yes" if v else "no") if isinstance(v, bool) else f"{f['icons']}/{scale[t]}" if f.get("icons") else str(v or " ")
+        said = ("Yes" if v else "No") if isinstance(v, bool) else str(v or "").strip() or (f"{f['icons']}/{scale[f['title']]}" if f.get("icons") else "")
+        return f"- {f['title']}" + (f": {said}" if said else "")
+
+    def card(c: dict) -> str:
+        command = f"```bash\n{c['command']}\n```" if c.get("command") else ""
+        return "\n\n".join(x for x in (f"### {c['name']}", c.get("description"), command, "\n".join(map(feature, c.get("features") or []))) if x)
 
-    lines = [f"- **{c['name']}**: {c.get('description', '')}".rstrip(": ") + (f" (`{c['command']}`)" if c.get("command") else "") for c in cards]
-    if names:
-        lines += ["", "| Model | " + " | ".join(names) + " |", "| " + " | ".join(["---"] * (len(names) + 1)) + " |"]
-        lines += ["| " + " | ".join([c["name"], *[value(c, t) for t in names]]) + " |" for c in cards]
-    return "\n".join(lines)
+    return "\n\n".join([*map(card, cards), *notes])
 
 
 def decode_props(text: str | None):  # noqa: ANN201

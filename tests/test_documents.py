@@ -187,14 +187,34 @@ def test_adapters():
     site = adapters.Adapter("docs", ("example.org",), None, [adapters.drop_copy_residue, adapters.unwrap_cards, adapters.one_theme, adapters.strip_pager])
     registry = adapters.Registry(site)
     text = "Copy\n[\n\n### T\n\nx\n](/u)\n\n![a](i-light.png)\n\n![a](i-dark.png)\n\n[Next page](/b)\n"
-    assert registry.clean(text, "https://docs.example.org/x") == "### [T](/u)\n\nx\n\n![a](i-light.png)\n"
+    assert registry.clean(text, "https://docs.example.org/x") == "### [T](/u)\n\nx\n\n\n\n![a](i-light.png)\n"
     assert registry.clean(text, "https://other.org/") == text == registry.clean(text, "https://example.org/", "none")
     root = parse('<div role="tablist"><button role="tab" aria-controls="p">L</button></div><div role="tabpanel" id="p">b</div>')
     adapters.tabs_to_headings(root)
     assert root.html(False) == '<div role="tabpanel" id="p"><h3>L</h3>b</div>'
     assert adapters.decode_props('{"a":[1,[[0,"x"],[0,{"b":[0,2]}]]]}') == {"a": ["x", {"b": 2}]}
     cards = [{"name": "M", "description": "d", "features": [{"title": "Speed", "icons": 2}, {"title": "Ok", "value": True}]}, {"name": "N", "features": [{"title": "Speed", "icons": 4}]}]
-    assert "| M | 2/4 | yes |" in adapters.model_cards(cards) and "| N | 4/4 |   |" in adapters.model_cards(cards)
+    assert adapters.model_cards(cards, ["Note."]) == "### M\n\nd\n\n- Speed: 2/4\n- Ok: Yes\n\n### N\n\n- Speed: 4/4\n\nNote."
+    assert adapters.model_cards([{"name": "X", "command": "run x", "features": [{"title": "T"}, {"title": "V", "value": " v "}]}]) == "### X\n\n```bash\nrun x\n```\n\n- T\n- V: v"
+
+
+def test_site_texts():
+    assert adapters.unwrap_cards("[\n\n### Title\n\nSome text\n\n](/u)\n") == "### [Title](/u)\n\nSome text\n\n\n"
+    assert adapters.unwrap_cards("[![i](a.png)\n\n## Head\n\nBody\n\n](/u)") == "![i](a.png)\n\n## [Head](/u)\n\nBody\n\n"
+    assert adapters.unwrap_cards("[ ![i](a.png)\nPlain title\n\nBody](/u)") == "![i](a.png)\n\n### [Plain title](/u)\n\nBody\n\n"
+    assert adapters.unwrap_cards("[\n\n### T\n\nBody\n\nGo on](/u)") == "### T\n\nBody\n\n[Go on](/u)\n\n"
+    assert adapters.unwrap_cards("[](/x)\n[a](b)[c](d)") == "\n[a](b)\n[c](d)"
+    assert adapters.copied_prompts("![x](y) Do this Copied ![x](z)Do that\nCopied") == "- Do this\n- Do that"
+    assert adapters.setup_cards("1. 1\nInstall command\ntext command here") == "1.\n\ntext command here"
+    assert adapters.index_page("[A](/c?search=a) [B](/c?search=b)\n## No use cases match these filters\n\nTry clearing a few filters.\n![x](y)\nkept").strip() == "kept"
+    assert adapters.glued_tabs({"AppCLI": ["App", "CLI"]})("x\nAppCLI") == "x\n- App\n- CLI"
+    assert adapters.one_theme("![S (light mode)](https://a.b/s-light.png) ![S (dark mode)](https://a.b/s-dark.png)") == "![S](https://a.b/s-light.png)"
+    for other in ("![S](a-light.png) ![T](a-dark.png)", "![S](a-light.png) ![S](b-dark.png)"):
+        assert adapters.one_theme(other) == other
+    for pager in ("[Previous\n\nA](/a) [Next\n\nB](/b)\n", "[Next page](/b)", "[Previous page](/a)\n\n[Next page](/b)"):
+        assert adapters.strip_pager(f"see [next](/c) there\n\n{pager}").strip() == "see [next](/c) there"
+    site = adapters.Adapter("d", ("e.org",), None, [], [(r"/cli/?$", adapters.setup_cards)])
+    assert adapters.Registry(site).clean("1. 1", "https://e.org/cli") == "1." and adapters.Registry(site).clean("1. 1", "https://e.org/x") == "1. 1"
 
 
 def test_pronunciations():
