@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,27 +118,35 @@ def collapse_blank_lines(text: Column) -> Column:
     return trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often lambdas in it refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def drop_repeated_images(text: Column) -> Column:
     """Paragraphs that are one image and repeat the paragraph before go."""
-    paragraphs = F.split(text, r"\n{2,}", -1)
     image = r"^!\[[^\]]*\]\([^)]*\)$"
-    kept = F.filter(paragraphs, lambda p, i: ~F.coalesce(F.trim(p).rlike(image) & (F.trim(p) == F.trim(F.get(paragraphs, i - 1))), F.lit(False)))
+    repeats = lambda p, before: F.coalesce(F.trim(p).rlike(image) & (F.trim(p) == F.trim(before)), F.lit(False))
+    kept = let(F.split(text, r"\n{2,}", -1), lambda all_: F.filter(all_, lambda p, i: ~repeats(p, F.get(all_, i - 1))))
     return F.array_join(kept, "\n\n")
 
 
 def drop_repeated_captions(text: Column) -> Column:
-    """A line in italics goes if it says what the image on the line before says."""
-    lines = F.split(text, "\n", -1)
+    """A line in italics goes if it says what the image on the line before says, blank lines left out."""
     key = lambda x: F.lower(F.regexp_replace(x, r"[\s*_.]+", ""))
 
-    def repeats(line: Column, i: Column) -> Column:
+    def repeats(line: Column, before: Column) -> Column:
         t = F.trim(line)
         italic = t.rlike(r"^\*[^*]+\*$") | t.rlike(r"^_[^_]+_$")
-        previous = F.when(i > 0, F.try_element_at(F.filter(F.slice(lines, 1, F.greatest(i, F.lit(1))), lambda x: F.trim(x) != ""), F.lit(-1)))
-        alt = F.regexp_extract(F.coalesce(previous, F.lit("")), r"^\s*!\[([^\]]*)\]\([^)]*\)\s*$", 1)
+        alt = F.regexp_extract(F.coalesce(before, F.lit("")), r"^\s*!\[([^\]]*)\]\([^)]*\)\s*$", 1)
         return F.when(italic, (key(F.substring(t, 2, 1000000)) == key(alt)) & (alt != "")).otherwise(False)  # only such lines look back
 
-    return F.array_join(F.filter(lines, lambda x, i: ~repeats(x, i)), "\n")
+    def kept(lines: Column) -> Column:
+        full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: F.trim(x["x"]) != "")
+        gone = let(full, lambda rows: F.transform(F.filter(rows, lambda x, k: (k > 0) & repeats(x["x"], F.get(rows, k - 1)["x"])), lambda x: x["i"]))
+        return let(gone, lambda out: F.filter(lines, lambda _, i: ~F.array_contains(out, i)))
+
+    return F.array_join(let(F.split(text, "\n", -1), kept), "\n")
 
 
 def add_frontmatter(text: Column, keys: list[tuple[str, Column]]) -> Column:
@@ -183,7 +193,7 @@ def translatable(text: Column) -> Column:
 def needs_breaks(code: Column) -> Column:
     """Inline code that print must be able to break."""
     long_ = F.length(code) >= 12
-    camel = code.rlike("[a-z][A-Z]") & ~code.rlike(r"\s")
+    camel = code.rlike("[a-z0-9][A-Z]") & ~code.rlike(r"\s")
     return code.contains("|") | (long_ & code.rlike(r"[\\/._:\[\]-]")) | (long_ & camel)
 
 

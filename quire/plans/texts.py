@@ -20,14 +20,26 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
+def sql_clean(title: str) -> str:
+    """The rule over the separators, written out."""
+    firsts = " ".join(f"WHEN contains({title}, '{s}') AND length(trim(split_part({title}, '{s}', 1))) >= 2 THEN trim(split_part({title}, '{s}', 1))" for s in T.SEPARATORS)
+    return f"CASE {firsts} ELSE trim({title}) END"
+
+
+RAW_TITLE = "CASE page_id % 9 WHEN 7 THEN {t} WHEN 8 THEN 'x' || {s1} || {t} || ' / ' || {h} ELSE {t} || {s} || {h} || ' | ' || page_id END"
+
+
 @query(
-    """WITH t AS (SELECT doc_id, ['A - B | C', 'Overview | Site', 'x - y', 'Plain', '  Both :: Here  ', 'A | Bee - C', ' • lone', 'Guide / Docs'][1 + doc_id % 8] AS t FROM documents)
-SELECT doc_id, CASE t WHEN 'A - B | C' THEN 'A - B' WHEN 'Overview | Site' THEN 'Overview' WHEN 'x - y' THEN 'x - y' WHEN 'Plain' THEN 'Plain' WHEN '  Both :: Here  ' THEN 'Both' WHEN 'A | Bee - C' THEN 'A | Bee' WHEN ' • lone' THEN '• lone' ELSE 'Guide' END AS title FROM t"""
+    f"""WITH t AS (SELECT page_id, {TITLE} AS title, regexp_extract(url, '://([^/?#]*)', 1) AS host, {T.SEPARATORS} AS s FROM pages),
+r AS (SELECT page_id, {RAW_TITLE.format(t='title', s1='s[2]', s='s[1 + page_id % 7]', h='host')} AS raw FROM t) SELECT page_id, {sql_clean('raw')} AS title FROM r"""
 )
 def page_title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MD26."""
-    raw = F.element_at(F.array(*map(F.lit, ["A - B | C", "Overview | Site", "x - y", "Plain", "  Both :: Here  ", "A | Bee - C", " • lone", "Guide / Docs"])), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_title(raw).alias("title"))
+    """MD26: titles of all pages, each with a separator, its host and its number; some first parts are too short."""
+    title, k = T.html_title(F.col("html")), F.col("page_id")
+    sep = F.element_at(F.array(*map(F.lit, T.SEPARATORS)), (k % 7 + 1).cast("int"))
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    raw = F.when(k % 9 == 7, title).when(k % 9 == 8, F.concat(F.lit("x" + T.SEPARATORS[1]), title, F.lit(" / "), host)).otherwise(F.concat(title, sep, host, F.lit(" | "), k.cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_title(raw).alias("title"))
 
 
 @query(f"SELECT page_id, md5({STRIP}) AS stripped FROM pages")
@@ -68,25 +80,46 @@ def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "markdown", F.col("m")["title"].alias("title"), F.col("m")["source"].alias("source"), T.without_frontmatter(F.col("markdown")).alias("body"), T.value_kind(F.col("m")["title"]).alias("kind"))
 
 
+HEADED = "CASE doc_id % 5 WHEN 0 THEN '# ' || first || chr(10) || chr(10) || text WHEN 1 THEN text || chr(10) || '## ' || first || '  ' WHEN 2 THEN text WHEN 3 THEN '### ' || first || chr(10) || text ELSE chr(10) || '# ' || first || ' more' || chr(10) || text END"
+
+
 @query(
-    """WITH t AS (SELECT doc_id, ['# One' || chr(10) || 'x', 'y' || chr(10) || '## Two  ', 'none', '### Three', '# one ' || chr(10) || chr(10) || 'rest'][1 + doc_id % 5] AS m FROM documents)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'One' WHEN 1 THEN 'Two' WHEN 4 THEN 'one' END AS title, CASE doc_id % 5 WHEN 0 THEN 'x' WHEN 4 THEN 'rest' ELSE m END AS body FROM t"""
+    f"""WITH d AS (SELECT doc_id, text, string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10))[1] AS first FROM documents), m AS (SELECT doc_id, first, {HEADED} AS m FROM d),
+h AS (SELECT *, regexp_extract(m, '^\\s*#{{1,6}}[ \\t]+([^\\n]*)', 1) AS head FROM m)
+SELECT doc_id, CASE WHEN regexp_matches(m, '(?m)^##?[ \\t]+\\S') THEN trim(regexp_extract(m, '(?m)^##?[ \\t]+(\\S[^\\n]*)$', 1)) END AS title,
+md5(CASE WHEN head <> '' AND lower(regexp_replace(head, '\\s+', '', 'g')) = lower(regexp_replace(first, '\\s+', '', 'g')) THEN regexp_replace(m, '^\\s*#{{1,6}}[ \\t]+[^\\n]*\\n*', '') ELSE m END) AS body FROM h"""
 )
 def markdown_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MD22, MD23."""
-    m = F.element_at(F.array(*map(F.lit, ["# One\nx", "y\n## Two  ", "none", "### Three", "# one \n\nrest"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", m.alias("m"))
-    return rows.select("doc_id", T.title_from(F.col("m")).alias("title"), T.without_leading_title(F.col("m"), F.lit("ONE")).alias("body"))
+    """MD22, MD23: whole texts under headings that say their first line, or more, or at their end."""
+    first = F.split(F.btrim("text", F.lit(" \t\n\r")), "\n")[0]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", first.alias("first"))
+    feed, k = F.lit("\n"), F.col("doc_id") % 5
+    m = (
+        F.when(k == 0, F.concat(F.lit("# "), "first", F.lit("\n\n"), "text"))
+        .when(k == 1, F.concat("text", F.lit("\n## "), "first", F.lit("  ")))
+        .when(k == 2, F.col("text"))
+        .when(k == 3, F.concat(F.lit("### "), "first", feed, "text"))
+        .otherwise(F.concat(F.lit("\n# "), "first", F.lit(" more\n"), "text"))
+    )
+    rows = rows.withColumn("m", m)
+    return rows.select("doc_id", T.title_from(F.col("m")).alias("title"), F.md5(T.without_leading_title(F.col("m"), F.col("first"))).alias("body"))
+
+
+LONGEST = "coalesce(list_max(list_transform(regexp_extract_all({c}, '`+'), lambda x: length(x))), 0)"
+TICKED = "CASE doc_id % 3 WHEN 0 THEN line WHEN 1 THEN replace(line, 'e', '`') ELSE '``' || replace(line, 'an', '`````') END"
 
 
 @query(
-    """WITH t AS (SELECT doc_id, ['a  b', 'a`b', '``x', '', 'c`` d `e'][1 + doc_id % 5] AS c FROM documents)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '`a b`' WHEN 1 THEN '``a`b``' WHEN 2 THEN '``` ``x ```' WHEN 3 THEN '' ELSE '```c`` d `e```' END AS code, CASE doc_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS longest FROM t"""
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), c AS (SELECT doc_id, n, {TICKED} AS c FROM l),
+b AS (SELECT *, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS body FROM c), f AS (SELECT *, repeat('`', {LONGEST.format(c='body')} + 1) AS fence, CASE WHEN starts_with(body, '`') OR ends_with(body, '`') THEN ' ' ELSE '' END AS pad FROM b)
+SELECT doc_id, n::INT AS n, CASE WHEN body = '' THEN '' ELSE fence || pad || body || pad || fence END AS code, {LONGEST.format(c='c')}::INT AS longest FROM f"""
 )
 def inline_code_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HT7, A19."""
-    c = F.element_at(F.array(*map(F.lit, ["a  b", "a`b", "``x", "", "c`` d `e"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.inline_code(c).alias("code"), T.longest_backticks(c).alias("longest"))
+    """HT7, A19: every line of every text as a code span, with backticks in it."""
+    line, k = F.col("line"), F.col("doc_id") % 3
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    c = F.when(k == 0, line).when(k == 1, F.replace(line, F.lit("e"), F.lit("`"))).otherwise(F.concat(F.lit("``"), F.replace(line, F.lit("an"), F.lit("`````"))))
+    return rows.select("doc_id", "n", T.inline_code(c).alias("code"), T.longest_backticks(c).alias("longest"))
 
 
 @query(
@@ -100,26 +133,52 @@ def callout_blockquote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, 3 + doc_id % 80 AS n FROM documents)
-SELECT doc_id, '|:' || repeat('-', greatest(10, least(50, n))::INT) || '|' || repeat('-', 10) || ':|' AS separator, 2 AS indent FROM t"""
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), w AS (SELECT doc_id, n, line, regexp_extract_all(line, '[^ ]+') AS w FROM l WHERE trim(line) <> '')
+SELECT doc_id, n::INT AS n, '|' || array_to_string(list_transform(w, lambda x, i: CASE WHEN i % 2 = 0 THEN ':' ELSE '' END || repeat('-', greatest(10, least(50, 3 * length(x)))::INT) || CASE WHEN i % 3 = 0 THEN ':' ELSE '' END), '|') || '|' AS separator,
+(n % 4)::INT AS indent FROM w"""
 )
 def table_separator_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MD11, MD13, A20."""
-    line = F.concat(F.lit("| :"), F.repeat(F.lit("-"), (F.col("doc_id") % 80 + 3).cast("int")), F.lit(" | ---: |"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.clamp_separator(line).alias("separator"), T.common_indent(F.concat(F.lit("   x\n\n  "), line)).alias("indent"))
+    """MD11, MD13, A20: a separator row from every line of every text, a cell for each word and three dashes a letter."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).where(F.trim("line") != "")
+    words = F.regexp_extract_all("line", F.lit("([^ ]+)"), F.lit(1))
+    cell = lambda x, i: F.concat(F.when((i + 1) % 2 == 0, " :").otherwise(" "), F.repeat(F.lit("-"), 3 * F.length(x)), F.when((i + 1) % 3 == 0, ": ").otherwise(" "))
+    row = F.concat(F.lit("|"), F.array_join(F.transform(words, cell), "|"), F.lit("|"))
+    text = F.concat(F.repeat(F.lit(" "), (F.col("n") % 4 + 1).cast("int")), F.lit("x\n\n"), F.repeat(F.lit(" "), (F.col("n") % 4).cast("int")), F.lit("y"))
+    return rows.select("doc_id", "n", T.clamp_separator(row).alias("separator"), T.common_indent(text).alias("indent"))
 
 
 @query(
-    """WITH t AS (SELECT doc_id, ['![a](u)', '![b](v)', 'text'][1 + doc_id % 3] AS p FROM documents)
-SELECT doc_id, CASE WHEN p = 'text' THEN 'text' || chr(10) || chr(10) || 'text' ELSE p END || chr(10) || chr(10) || 'end' AS images,
-'![A cat](u)' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '*A dog*' || chr(10) END || 'end' AS captions FROM t"""
+    """WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\\s\\[\\]()*_!]+') AS w FROM documents), i AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+p AS (SELECT doc_id, w, i, CASE WHEN i % 5 = 4 THEN w ELSE '![' || lower(w[1]) || '](u)' END AS p FROM i), k AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p)
+SELECT d.doc_id, md5(coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (p IS DISTINCT FROM before OR i % 5 = 4), '')) AS images FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id"""
 )
 def adjacent_image_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W9, W10, MD2, MD4."""
-    p = F.element_at(F.array(*map(F.lit, ["![a](u)", "![b](v)", "text"])), (F.col("doc_id") % 3 + 1).cast("int"))
-    caption = F.when(F.col("doc_id") % 2 == 0, "*A cat*").otherwise("*A dog*")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(p, F.lit("\n\n"), p, F.lit("\n\nend")).alias("a"), F.concat(F.lit("![A cat](u)\n"), caption, F.lit("\nend")).alias("b"))
-    return rows.select("doc_id", T.drop_repeated_images(F.col("a")).alias("images"), T.drop_repeated_captions(F.col("b")).alias("captions"))
+    """W9, MD4: every word of every text as a paragraph, most of them images."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\s\[\]()*_!]+)"), F.lit(1))
+    part = lambda w, i: F.when(i % 5 == 4, w).otherwise(F.concat(F.lit("!["), F.lower(F.substring(w, 1, 1)), F.lit("](u)")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.drop_repeated_images(F.array_join(F.transform(words, part), "\n\n"))).alias("images"))
+
+
+CAPTION = "lower(regexp_replace({x}, '[\\s*_.]+', '', 'g'))"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '[\\[\\]()*_!]', '', 'g') AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), s AS (SELECT * FROM l WHERE trim(line) <> ''),
+c AS (SELECT *, trim(CASE WHEN n % 2 = 0 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE line || '!' END) AS said FROM s),
+t AS (SELECT doc_id, n, '![' || line || '](u)' || chr(10) || CASE WHEN {CAPTION.format(x='said')} = {CAPTION.format(x='line')} AND line <> '' THEN chr(10) ELSE chr(10) || '*' || said || '*' || chr(10) END || 'end' AS t FROM c)
+SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY n)) AS captions FROM t GROUP BY doc_id"""
+)
+def caption_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10, MD2: every line of every text as an image, and in italics under it in capitals, or with one more sign."""
+    bare = F.transform(F.split("text", "\n", -1), lambda x, n: F.struct(F.regexp_replace(x, r"[\[\]()*_!]", "").alias("line"), n.alias("n")))
+    lines = F.filter(bare, lambda x: F.trim(x["line"]) != "")
+
+    def block(x):  # noqa: ANN001, ANN202
+        said = F.trim(F.when(x["n"] % 2 == 0, F.translate(x["line"], "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(x["line"], F.lit("!"))))
+        return F.concat(F.lit("!["), x["line"], F.lit("](u)\n\n*"), said, F.lit("*\nend"))
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, block).alias("b")).where(F.size("b") > 0)
+    return rows.select("doc_id", F.md5(T.drop_repeated_captions(F.array_join("b", "\n"))).alias("captions"))
 
 
 @query(
