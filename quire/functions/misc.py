@@ -79,8 +79,9 @@ def backoff(attempt: Column, delay: Column, cap: Column) -> Column:
     return F.least(delay * F.pow(F.lit(2.0), attempt), cap)
 
 
-def jittered(base: Column, previous: Column, cap: Column, strategy: str, seed: int | None = None) -> Column:
-    u = F.rand(seed)
+def jittered(base: Column, previous: Column, cap: Column, strategy: str, seed: int | None = None, draw: Column | None = None) -> Column:
+    """``draw``: a number in [0, 1) instead of a random one."""
+    u = F.rand(seed) if draw is None else draw
     drawn = {"none": base, "full": base * u, "equal": base / 2 + base * u / 2, "decorrelated": base + u * (F.coalesce(previous, base) * 3 - base)}[strategy]
     return F.round(F.least(drawn, cap))
 

@@ -183,13 +183,17 @@ def review_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.top(table(spark, sf_dir, "conversations"), "conv_id", F.col("role") == "assistant", "turn", 3).select("conv_id", "turn", "role", "rank")
 
 
-@query("""WITH r AS (SELECT doc_id, doc_id % 8 AS k FROM documents)
-SELECT doc_id, k AS attempt, least(2000 * power(2, k), 60000) AS delay, CASE k WHEN 0 THEN 1500.0 WHEN 1 THEN NULL WHEN 2 THEN 0.0 ELSE k * 1000.0 END::DOUBLE AS retry_after FROM r""")
+@query("""WITH r AS (SELECT doc_id, n_chars, doc_id % 8 AS k, doc_id % 97 / 97.0::DOUBLE AS u, least(2000 * power(2, doc_id % 8), 60000)::DOUBLE AS base FROM documents)
+SELECT doc_id, k AS attempt, round(least(CASE doc_id % 4 WHEN 0 THEN base WHEN 1 THEN base * u WHEN 2 THEN base / 2 + base * u / 2 ELSE base + u * (n_chars * 3 - base) END, 60000)) AS delay,
+CASE WHEN k = 0 THEN 1500.0 WHEN k = 1 THEN NULL WHEN n_chars % 40 <= 30 THEN n_chars % 40 * 1000.0 END::DOUBLE AS retry_after FROM r""")
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1, M3."""
-    k = F.col("doc_id") % 8
-    value = F.when(k == 0, "1.5").when(k == 1, "99").when(k == 2, "0").otherwise(k.cast("string"))
-    delay = M.jittered(M.backoff(k, F.lit(2000.0), F.lit(60000.0)), F.lit(None).cast("double"), F.lit(60000.0), "none")
+    """M1, M3: every kind of jitter with draws from the rows; waits from the documents' sizes, those above 30 s refused."""
+    k, u = F.col("doc_id") % 8, F.col("doc_id") % 97 / F.lit(97.0)
+    value = F.when(k == 0, "1.5").when(k == 1, "99").otherwise((F.col("n_chars") % 40).cast("string"))
+    base, cap = M.backoff(k, F.lit(2000.0), F.lit(60000.0)), F.lit(60000.0)
+    delay = F.lit(None).cast("double")
+    for n, kind in enumerate(("none", "full", "equal", "decorrelated")):
+        delay = F.when(F.col("doc_id") % 4 == n, M.jittered(base, F.col("n_chars").cast("double"), cap, kind, draw=u)).otherwise(delay)
     return table(spark, sf_dir, "documents").select("doc_id", k.alias("attempt"), delay.alias("delay"), M.retry_after_ms(value, F.current_timestamp()).alias("retry_after"))
 
 
