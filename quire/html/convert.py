@@ -20,6 +20,12 @@ def code_span(text: str) -> str:
     return f"{fence}{pad}{body}{pad}{fence}"
 
 
+def escaped(text: str) -> str:
+    """Text of a page whose signs would be marks in Markdown: some anywhere, some only where the text begins."""
+    text = re.sub(r"([\\*`\[\]_])", r"\\\1", text)
+    return re.sub(r"^(?:(-|\+ |=+|#{1,6} |~~~|>)|(\d+)(?=\. ))", lambda m: "\\" + m[1] if m[1] else m[2] + "\\", text)
+
+
 def _cell(node: Node | str) -> str:
     if isinstance(node, str):
         return node
@@ -90,6 +96,8 @@ class Converter:
             piece = re.sub(r"\s+", " ", c) if isinstance(c, str) else self._node(c)
             if isinstance(c, str) and (out.endswith(("\n", " ")) or not out):
                 piece = piece.lstrip(" ")
+            if isinstance(c, str):
+                piece = escaped(piece)
             if isinstance(c, Node) and (c.tag in BLOCKS or c.tag in ("li", "figcaption")):
                 out = out.rstrip(" ")
             out += piece
