@@ -66,7 +66,7 @@ def test_selectors():
         ("<blockquote><p>q</p><p>r</p></blockquote>", "> q\n>\n> r"),
         ("<p>t</p><script>var x = '</p>'</script><style>p{}</style>", "t"),
         ("<figure><img src='/i.png' alt='I'><figcaption>cap</figcaption></figure>", "![I](/i.png)\n\ncap"),
-        (r"<p>1. a*b_c [x] `y` \\ z</p><p># no</p><p>- no</p><p>a - b # c 1. d</p>", "1\\. a\\*b\\_c \\[x\\] \\`y\\` \\\\ z\n\n\\# no\n\n\\- no\n\na - b # c 1. d"),
+        ("<p>1. a*b_c [x] `y` \\ z</p><p># no</p><p>- no</p><p>a - b # c 1. d</p>", "1\\. a\\*b\\_c \\[x\\] \\`y\\` \\\\ z\n\n\\# no\n\n\\- no\n\na - b # c 1. d"),
         ("<p>&gt; q</p><p>== r</p><pre><code>a*b</code></pre><p><code>x_y</code></p>", "\\> q\n\n\\== r\n\n```\na*b\n```\n\n`x_y`"),
         ("<svg><title>T</title><text>12 %</text><text>word</text></svg>", "T | word"),
     ],
