@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def start_pages(files: DataFrame, order: str = "index", count: str = "page_count", book: str = "book") -> DataFrame:
-    """First page (from 1) of each file: the pages of all before it in its book."""
-    w = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start_page", F.coalesce(F.sum(count).over(w), F.lit(0)) + 1)
+def start_pages(files: DataFrame, order: str = "index", count: str = "page_count", book: str = "book", block: int = 50_000) -> DataFrame:
+    """First page (from 1) of each file: the pages of all before it in its book, by a numeric ``order``.
+
+    A book is summed in blocks of ``block`` places, pre-aggregated; places are numbered inside them, so no task takes more
+    than a block of a book's files.
+    """
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = files.withColumn("__block", F.floor(F.col(order) / block))
+    sums = rows.groupBy(book, "__block").agg(F.sum(count).alias("__pages"))
+    before = sums.select(book, "__block", F.coalesce(F.sum("__pages").over(until(Window.partitionBy(book).orderBy("__block"))), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(count).over(until(Window.partitionBy(book, "__block").orderBy(order))), F.lit(0))
+    return rows.join(before, [book, "__block"]).withColumn("start_page", F.col("__before") + inside + 1).drop("__block", "__before")
 
 
 def outline(pages: DataFrame, book: str = "book") -> DataFrame:

@@ -14,7 +14,7 @@ from quire.functions import ipa, misc
 from quire.functions import text as T
 from quire.html import operators as H
 from quire.markdown import adapters
-from quire.operators import frontier, verify
+from quire.operators import book, frontier, verify
 from quire.session import ship
 
 SF = "/root/testdata/sf0.001"
@@ -204,3 +204,13 @@ def test_dense_index_of_many_wide_rows(spark):
 def test_dense_index_of_ties_and_nulls(spark):
     rows = spark.createDataFrame([(None, "a"), (1, "b"), (1, "c"), (None, "d")], "raw_index int, url string")
     assert sorted(r["final_index"] for r in frontier.dense_index(rows).collect()) == [0, 1, 2, 3]
+
+
+def test_start_pages_across_blocks(spark):
+    rows = spark.range(2000).selectExpr("id % 2 AS book", "id AS index", "cast(id % 7 + 1 AS int) AS page_count").repartition(5)
+    got = {r["index"]: r["start_page"] for r in book.start_pages(rows, block=37).collect()}
+    want, at = {}, {0: 1, 1: 1}
+    for k in range(2000):
+        want[k] = at[k % 2]
+        at[k % 2] += k % 7 + 1
+    assert got == want
