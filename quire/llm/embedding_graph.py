@@ -227,7 +227,7 @@ def place(classes: DataFrame, dim: int, least: float, shard_rows: int, overlap:
     be split: its vectors lie too close.
     """
     vectors = classes.select("rep", "v")
-    now = vectors.select("rep", F.lit(0).cast("long").alias("cell"))
+    now = vectors.select("rep", F.pmod(F.col("rep"), F.lit(1).cast("long")).alias("cell"))  # all in one; a literal would make the joins below cross joins
     done = None
     for level in range(levels):
         counts = scratch.put(now.groupBy("cell").agg(F.count("*").alias("rows")), f"counts{name}_{level}")
