@@ -41,7 +41,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_BREAKS, -1), lambda w: w != "")
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_BREAKS, -1))
 
 
 def _pairs(hashes: str, apart: int) -> Column:
