@@ -54,12 +54,12 @@ def dense_index(rows: DataFrame, order: str = "raw_index", name: str = "final_in
     One exchange deals the rows to sorted ranges, as many as their size asks for; each row gets its range and its place
     there. They are written before the ranges are counted: a second run of the exchange would cut other ranges.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = Scratch(rows.sparkSession).put(ranged, "ranged").withColumn("__part", F.shiftright("__at", 33))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row for each range
-    before = counts.select("__part", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out = ranged.join(F.broadcast(before), "__part")
-    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__row", F.monotonically_increasing_id())
+    ranged = Scratch(rows.sparkSession).put(ranged, "ranged").withColumn("__range", F.shiftright("__row", 33))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__size"))  # a row for each range
+    before = counts.select("__range", F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = ranged.join(F.broadcast(before), "__range")
+    return out.withColumn(name, F.col("__before") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).drop("__range", "__row", "__before")
 
 
 def last_section(raw: DataFrame) -> DataFrame:
