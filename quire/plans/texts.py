@@ -128,7 +128,7 @@ SELECT doc_id, '> **Note:**' || chr(10) || '>' || chr(10) || array_to_string(lis
 )
 def callout_blockquote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MD6."""
-    body = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), "\n")
+    body = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(T.SEPARATOR_SPACES)) != ""), "\n")
     return table(spark, sf_dir, "documents").select("doc_id", T.callout(body, "Note").alias("quote"))
 
 
