@@ -25,3 +25,27 @@ def test_callout_of_blank_texts(spark, tmp_path):
     rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     found, wanted = against_sql(spark, tmp_path / "t", "callout_blockquote", "documents", rows)
     assert found == wanted and (0, "> **Note:**\n>\n") in found
+
+
+def test_outline_and_ranges_across_blocks(spark):
+    pages = spark.range(900).selectExpr("id % 2 AS book", "id AS index", "cast(floor(id / 30) AS string) AS section", "concat('t', id) AS title", "id * 3 + 1 AS start_page").repartition(5)
+    rows = book.outline(pages, block=37)
+    got = {(r["book"], r["seq"]): (r["level"], r["title"], r["page"]) for r in rows.collect()}
+    want = {}
+    for b in (0, 1):
+        entries = []
+        for k in range(b, 900, 2):
+            if not entries or k // 30 != (k - 2) // 30:
+                entries.append((1, str(k // 30), k * 3 + 1))
+            entries.append((2, f"t{k}", k * 3 + 1))
+        want |= {(b, n): e for n, e in enumerate(entries, 1)}
+    assert got == want
+    deep = rows.selectExpr("book", "seq", "cast(level + seq % 3 AS int) AS level", "title", "if(seq % 7 = 0, null, page) AS page")
+    flat = {(r["book"], r["seq"]): r for r in deep.collect()}
+    for block in (5, 37, 50_000):
+        out = book.ranges(deep, block=block)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()  # such a frame is added up anew for each row
+        for r in out.collect():
+            after = [flat[r["book"], n] for n in range(r["seq"] + 1, len(flat) // 2 + 1)]
+            assert r["has_children"] == bool(after and after[0]["level"] > r["level"])
+            assert r["next_page"] == next((x["page"] for x in after if x["level"] <= 2 and x["page"] is not None), None)
