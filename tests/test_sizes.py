@@ -49,3 +49,18 @@ def test_outline_and_ranges_across_blocks(spark):
             after = [flat[r["book"], n] for n in range(r["seq"] + 1, len(flat) // 2 + 1)]
             assert r["has_children"] == bool(after and after[0]["level"] > r["level"])
             assert r["next_page"] == next((x["page"] for x in after if x["level"] <= 2 and x["page"] is not None), None)
+
+
+def python_nodes(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return plan.count("EvalPython"), plan.count("html#")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pages_are_converted_once(spark):
+    """Several readers of a table of segments read it from the shared folder."""
+    for name in ("annotation_responses",):
+        nodes, html = python_nodes(plans.QUERIES[name](spark, SF))
+        assert html == 0 and nodes <= 1, name
