@@ -61,6 +61,6 @@ SF = "/root/testdata/sf0.001"
 
 def test_pages_are_converted_once(spark):
     """Several readers of a table of segments read it from the shared folder."""
-    for name in ("annotation_responses",):
+    for name in ("annotation_responses", "book_run",):
         nodes, html = python_nodes(plans.QUERIES[name](spark, SF))
         assert html == 0 and nodes <= 1, name
