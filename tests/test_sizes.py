@@ -64,3 +64,8 @@ def test_pages_are_converted_once(spark):
     for name in ("annotation_responses", "book_run",):
         nodes, html = python_nodes(plans.QUERIES[name](spark, SF))
         assert html == 0 and nodes <= 1, name
+
+
+def test_one_worker_a_task(spark):
+    for name in ("annotation_segments",):
+        assert python_nodes(plans.QUERIES[name](spark, SF))[0] == 1, name
