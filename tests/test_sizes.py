@@ -67,5 +67,5 @@ def test_pages_are_converted_once(spark):
 
 
 def test_one_worker_a_task(spark):
-    for name in ("annotation_segments",):
+    for name in ("annotation_segments", "page_text_rules",):
         assert python_nodes(plans.QUERIES[name](spark, SF))[0] == 1, name
