@@ -61,11 +61,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_pages_are_converted_once(spark):
     """Several readers of a table of segments read it from the shared folder."""
-    for name in ("annotation_responses", "book_run",):
+    for name in ("annotation_responses", "translated_markdown", "book_run"):
         nodes, html = python_nodes(plans.QUERIES[name](spark, SF))
         assert html == 0 and nodes <= 1, name
 
 
 def test_one_worker_a_task(spark):
-    for name in ("annotation_segments", "page_text_rules",):
+    for name in ("annotation_segments", "page_text_rules"):
         assert python_nodes(plans.QUERIES[name](spark, SF))[0] == 1, name
