@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from quire import plans
+from quire.functions import text as T
 from quire.operators import book
 
 
@@ -69,3 +71,18 @@ def test_pages_are_converted_once(spark):
 def test_one_worker_a_task(spark):
     for name in ("annotation_segments", "page_text_rules"):
         assert python_nodes(plans.QUERIES[name](spark, SF))[0] == 1, name
+
+
+def test_text_rules_compute_their_text_once(spark):
+    rows = spark.createDataFrame([("a  b\t`c`",), ("`x",), (" \n",), ("a b",), (None,)], "t string").select(T.inline_code(F.col("t")).alias("code"))
+    assert [r["code"] for r in rows.collect()] == ["`` a b `c` ``", "`` `x ``", "", "`a b`", None]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
+def test_emphasis_looks_back_behind_underscores_only(spark):
+    texts = ["漢_a_ b", "_a_漢", "x_a_漢", "__a_漢", "_a\n_漢", "한_é__漢_"]
+    want = ["漢*a* b", "*a*漢", "x_a_漢", "__a_漢", "_a\n_漢", "한*é*_漢_"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.cjk_emphasis(F.col("t")).alias("out"))
+    assert [r["out"] for r in rows.collect()] == want
+    assert "(?<=[" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("_(?<=[", "")  # else every place of a text looks back
