@@ -86,3 +86,11 @@ def test_emphasis_looks_back_behind_underscores_only(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.cjk_emphasis(F.col("t")).alias("out"))
     assert [r["out"] for r in rows.collect()] == want
     assert "(?<=[" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("_(?<=[", "")  # else every place of a text looks back
+
+
+def test_clamp_computes_its_row_once(spark):
+    texts = ["|---|:--:|", "| :---: | " + "-" * 60 + " |", "---\r\n |---\r", "|--|---|", "|", "", None, "---|", "|:---"]
+    want = ["|---|:--:|", "|:----------:|" + "-" * 50 + "|", "|----------|----------|", "|--|---|", "|", "", None, "|----------|", "|:----------|"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.clamp_separator(F.reverse(F.reverse("t"))).alias("out"))
+    assert [r["out"] for r in rows.collect()] == want
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
